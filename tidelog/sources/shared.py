@@ -1,5 +1,6 @@
 """Intermediate tables in the folder that driver and executors share."""
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -26,10 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class SharedTables:
-    """Parquet tables in the shared folder that ``drop`` removes when a caller is done with them."""
+    """Parquet tables in the shared folder. They go with ``drop``, or else when this process ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        atexit.register(self.drop)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/tidelog-{uuid.uuid4().hex}"
@@ -37,10 +39,10 @@ class SharedTables:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, keep: int = 0) -> None:
-        for path in self.paths[: len(self.paths) - keep]:
+    def drop(self) -> None:
+        for path in self.paths:
             remove(self.spark, path)
-        self.paths = self.paths[len(self.paths) - keep :]
+        self.paths.clear()
 
 
 def remove(spark: SparkSession, path: str) -> None:
