@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, mixing, packing, rules, urlfilter
+from tidelog.llm import chat, langid, mixing, packing, quality, rules, urlfilter
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    found = langid.predicted(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(_t(spark, d, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    found = quality.scored(docs, quality.fit(docs, _t(spark, d, "labels")), ["doc_id"])
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.judged(_t(spark, d, "documents"), ["doc_id"])
 
@@ -34,6 +46,6 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op5_packing, op8_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_language_id, op5_packing, op7_quality_classifier, op8_quality_rules, op10_url_filters)}
 
 ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op2_mixing": mixing.ORACLE, "op10_url_filters": urlfilter.ORACLE}
