@@ -34,21 +34,26 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def dealt(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
-    """``rows`` sorted in partitions by (key, part), no part with more than about twice ``most`` rows.
+def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
+    """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows.
 
     A key with more rows than ``most`` is cut into blocks by a hash of ``by``,
     and each pair of blocks is a part of its own, so that every two rows of a
-    key meet in one part. ``block`` tells which block a row is of; the rows of a
-    part are of one block, or of two of which the lower has ``first`` set.
+    key meet in one part. The rows of a part are of one block, or of two of
+    which the lower has ``first`` set.
     """
     big = rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    held = held.withColumn("block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    lo, hi = F.least("block", "_other"), F.greatest("block", "_other")
-    held = held.withColumn("part", (lo * F.col("_blocks") + hi).cast("int")).withColumn("first", F.col("block") == lo)
-    return held.drop("_key", "_blocks", "_other").repartition(n, key, "part").sortWithinPartitions(key, "part")
+    held = held.withColumn("_block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    lo, hi = F.least("_block", "_other"), F.greatest("_block", "_other")
+    held = held.withColumn("part", (lo * F.col("_blocks") + hi).cast("int")).withColumn("first", F.col("_block") == lo)
+    return held.drop("_key", "_blocks", "_block", "_other")
+
+
+def dealt(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
+    """``split``, in partitions sorted by (key, part)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return split(rows, key, by, most).repartition(n, key, "part").sortWithinPartitions(key, "part")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

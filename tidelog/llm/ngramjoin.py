@@ -3,7 +3,7 @@
 Method: a text's set of 5-word shingles is ordered by one global order, rare
 shingles first. Two sets that are similar enough share a shingle among the
 first of their order (the prefix), so sets that are connected through prefix
-shingles are brought together. There the sets, in order of size, are stored in a
+shingles, among sets of like size, are brought together. There the sets, in order of size, are stored in a
 trie whose nodes hold runs of shingles; a set looks for partners by walking it,
 sharing what it overlaps with on the way, and leaves a subtree when sizes, or the
 overlap so far plus what can still come, cannot reach the threshold, or when all
@@ -25,6 +25,7 @@ id take part, and get the component of the others, or null; repeated rows are
 texts with equal sets; an empty table gives no rows; other columns are ignored.
 """
 
+import math
 import struct
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.groups import Sets, components, dealt, runs
+from tidelog.llm.groups import Sets, components, runs, split
 from tidelog.llm.text import Words, buffers, mixed, shingles, slices, strings
 from tidelog.sources.shared import SharedTables
 
@@ -47,6 +48,9 @@ COMMON = 64
 #: Bytes of text hashed together, of a block, and per bucket; sets of a group that stay together.
 SLICE, BLOCK, BUCKET, GROUP = 2 << 20, 12 << 20, 16 << 20, 2048
 
+#: Ratio of the sizes of neighbouring classes; just over the largest ratio of linked sets.
+CLASS = 1.01 * NUMERATOR / DENOMINATOR
+
 _ROWS = "kind int, bucket long, block long, doc_id long, cid long, size long, idx int, payload binary"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
 _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -230,7 +234,11 @@ def _prefix(size: np.ndarray) -> np.ndarray:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ordered shared shingles of those texts whose prefix has any."""
+    """The ordered shared shingles of those texts whose prefix has any.
+
+    ``ahead`` of them are in the prefix, ``ahead_small`` in the shorter one that
+    is enough where the partner is not smaller.
+    """
     for group in runs(batches, ["block"]):
         kind = np.asarray(group["kind"])
         docs = group.filter(pa.array(kind == _DOC))
@@ -247,6 +255,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.searchsorted(idx, np.arange(n + 1))
         shared = np.diff(at)
         ahead = _prefix(size) - (size - shared)
+        small = size - -(-DENOMINATOR * 2 * size // (NUMERATOR + DENOMINATOR)) + 1 - (size - shared)
         keep = np.flatnonzero((ahead > 0) & (shared > 0))
         for lo in range(0, len(keep), 2048):
             rows = keep[lo : lo + 2048]
@@ -254,7 +263,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spots = np.arange(int(lengths.sum())) + np.repeat(at[rows] - np.cumsum(lengths) + lengths, lengths)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(place[spots]))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.array(size[rows]), pa.array(np.minimum(ahead[rows], lengths).astype(np.int32)), lists], names=["cid", "size", "ahead", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.array(size[rows]), *[pa.array(np.clip(x[rows], 0, lengths).astype(np.int32)) for x in (ahead, small)], lists], names=["cid", "size", "ahead", "ahead_small", "grams"])
 
 
 class _Node:
@@ -345,7 +354,10 @@ def _joined(group: pa.Table) -> dict[str, np.ndarray]:
     cid, first = np.unique(np.asarray(group["cid"]), return_index=True)
     size = np.asarray(group["size"])[first]
     lists = group["grams"].combine_chunks().take(pa.array(first))
-    flat, at = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    # places in the group's own order; each number is one object, however many sets have it
+    known, rank = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    flat = np.arange(len(known)).astype(object)[rank]
     grams = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
     trie = Trie(len(cid))
     for i in np.lexsort((cid, size)).tolist():
@@ -373,15 +385,23 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = shared.put(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = met.select("kind", "block", "cid", "size", "idx", "payload").repartition(parts, "block").sortWithinPartitions("block", "kind")
-    sets = shared.put(told.mapInArrow(_assemble, "cid long, size long, ahead int, grams array<long>"))
-    # sets that share a prefix shingle, each with the smallest of them
-    heads = sets.select("cid", F.explode(F.slice("grams", F.lit(1), F.col("ahead"))).alias("gram"))
-    least = heads.groupBy("gram").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select(F.col("gram").alias("_gram"), "least")
-    met_by = heads.join(least, F.col("gram") == F.col("_gram")).where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    sets = shared.put(told.mapInArrow(_assemble, "cid long, size long, ahead int, ahead_small int, grams array<long>"))
+    # linked sets are of one size class, or the smaller is of the class below and is shown in the other too
+    size_class = F.floor(F.log("size") / math.log(CLASS)).cast("int")
+    own = sets.select("cid", size_class.alias("class"), F.lit(1).alias("native"), F.slice("grams", F.lit(1), F.col("ahead")).alias("_h"))
+    up = sets.select("cid", (size_class + 1).alias("class"), F.lit(0).alias("native"), F.slice("grams", F.lit(1), F.col("ahead_small")).alias("_h"))
+    node = F.xxhash64("cid", "class")
+    heads = own.unionByName(up).select(node.alias("n"), "native", F.explode("_h").alias("_g"), "class").select("n", "native", F.xxhash64("_g", "class").alias("gram"))
+    least = heads.groupBy("gram").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("native").alias("natives")).where("least < most and natives = 1")
+    met_by = heads.join(least.select(F.col("gram").alias("_gram"), "least"), F.col("gram") == F.col("_gram")).where("n <> least").select(F.col("n").alias("a"), F.col("least").alias("b")).distinct()
     rough = components(met_by)
     rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())
-    close = sets.join(rough, F.col("cid") == F.col("node")).select(F.col("root").alias("comp"), "cid", "size", "grams")
-    found = dealt(close, "comp", F.col("cid"), GROUP).select("comp", "part", "cid", "size", "grams").mapInArrow(_join, "a long, b long")
+    # only numbers move until it is known where a set goes
+    shown = sets.select("cid", F.explode(F.array(size_class, size_class + 1)).alias("class")).distinct().select("cid", node.alias("_n"))
+    place = shown.join(rough, F.col("_n") == F.col("node")).select(F.col("root").alias("comp"), F.col("cid").alias("_cid"))
+    place = split(place, "comp", F.col("_cid"), GROUP).select("comp", "part", "_cid")
+    close = sets.dropDuplicates(["cid"]).join(place, F.col("cid") == F.col("_cid")).select("comp", "part", "cid", "size", "grams")
+    found = close.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
     roots = components(shared.put(found))
     rows = met.where(F.col("kind") == _DOC).select("doc_id", "cid", "size")
     rows = rows.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("root", "cid")).alias("class"))
