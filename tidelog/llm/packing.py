@@ -20,8 +20,10 @@ Defined cases: a null or empty text has just the end id; repeated rows are
 packed each; an empty table gives no pieces; other columns are ignored.
 """
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from tidelog.llm.text import SPACE, slices, strings
 
 WINDOW, END_ID = 2048, 1
 #: Bytes of text tokenised together, and words remembered.
-SLICE, REMEMBERED = 2 << 20, 150_000
+SLICE, REMEMBERED = 1 << 20, 350_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -45,30 +47,43 @@ def default_tokenizer() -> str:
 
 
 class WordTokens:
-    """Ids of whole texts through their words."""
+    """Ids of whole texts through their words.
+
+    Words met lately are remembered in two generations: when the younger is
+    full it becomes the older, and what is met again moves back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        for w, e in zip(new, found, strict=True):
+            young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each with the end id."""
+        words = [t.encode().split() for t in texts]  # bytes.split() splits at 0x20 and 0x09-0x0D
+        self._learn(set().union(*words))
+        of, end = self.young.__getitem__, struct.pack("<I", END_ID)
+        return [np.frombuffer(b"".join(map(of, w)) + end, "<u4") for w in words]
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        ids = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in ids), strict=True))
 
-    def encode(self, text: str) -> np.ndarray:
-        """With the end id."""
-        words = text.encode().split()  # bytes.split() splits at 0x20 and 0x09-0x0D
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for lo in range(0, len(new), REMEMBERED // 2):
-            self._learn(new[lo : lo + REMEMBERED // 2])
-        try:
-            parts = list(map(self.known.__getitem__, words))
-        except KeyError:  # more different words than are remembered
-            parts = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
-        return np.frombuffer(b"".join([*parts, np.array([END_ID], "<u4").tobytes()]), "<u4")
+@lru_cache(1)
+def _tokens(path: str) -> WordTokens:
+    """One per worker, so that what a task has learned serves the next."""
+    return WordTokens(path)
 
 
 class Packer:
@@ -141,7 +156,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = WordTokens(path), Packer(TaskContext.get().partitionId() << 36, window)
+        tokens, packer = _tokens(path), Packer(TaskContext.get().partitionId() << 36, window)
         waiting: dict[int, list] = {}  # of documents with pieces in open windows: id, tokens, first id kept, ids from there
         number = 0
 
@@ -161,8 +176,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
         for batch in batches:
             ids_of, texts = batch.column(0), strings(batch.column(1))
             for lo, hi in slices(texts, SLICE):
-                for k in range(lo, hi):
-                    ids = tokens.encode(texts[k].as_py())
+                for k, ids in enumerate(tokens.encode(texts.slice(lo, hi - lo).to_pylist()), lo):
                     waiting[number] = [ids_of[k].as_py(), len(ids), 0, ids]
                     packer.put(number, len(ids), 0)
                     number += 1
