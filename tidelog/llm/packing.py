@@ -13,13 +13,14 @@ them into windows whose lengths are powers of two, which need no padding.
 Each task packs its own share of the documents with its own levels: there is no
 shuffle, and a task holds the ids of what lies in open windows only.
 
-Texts are split at white space before they are tokenised, which the tokenizer
-never crosses, and a worker remembers the ids of the words it met last.
+Texts are split into words and punctuation before they are tokenised, as the
+tokenizer does it, and a worker remembers the ids of those it met last.
 
 Defined cases: a null or empty text has just the end id; repeated rows are
 packed each; an empty table gives no pieces; other columns are ignored.
 """
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.text import SPACE, slices, strings
 
 WINDOW, END_ID = 2048, 1
-#: Bytes of text tokenised together, and words remembered.
+#: Bytes of text tokenised together, and pieces remembered.
 SLICE, REMEMBERED = 1 << 20, 350_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -46,38 +47,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: All but characters whose lower case and composition depend on nothing around them, and a special token's start.
+_ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
+_WORD = re.compile(r"[^\t-\r ]+")
+#: Fixed value: how the vocabulary's own pre-tokenizer cuts lower-cased text, for those characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+
+
+def _byte_names() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next from U+0100."""
+    out, spare = [], 256
+    for b in range(256):
+        shown = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b
+        out.append(chr(b if shown else spare))
+        spare += not shown
+    return out
+
+
 class WordTokens:
-    """Ids of whole texts through their words.
+    """Ids of whole texts through their pieces.
 
-    Words met lately are remembered in two generations: when the younger is
-    full it becomes the older, and what is met again moves back.
+    Plain text is cut as the tokenizer would cut it, and each new piece is given
+    to its model; any other word goes through the whole tokenizer. Pieces met
+    lately are remembered in two generations: when the younger is full it
+    becomes the older, and what is met again moves back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.young, self.old, self.names = Tokenizer.from_file(path), {}, {}, _byte_names()
+        self.model = self.tokenizer.model
+
+    def _pieces(self, text: str) -> list:
+        if not _ODD.search(text):
+            return _PIECE.findall(text.lower())
+        out: list = []
+        for word in _WORD.findall(text):
+            out += [(word,)] if _ODD.search(word) else _PIECE.findall(word.lower())
+        return out
+
+    def _ids(self, piece: str | tuple) -> bytes:
+        if isinstance(piece, tuple):
+            ids = self.tokenizer.encode(piece[0], add_special_tokens=False).ids
+        else:
+            if not piece.isalpha() or not piece.isascii():
+                piece = "".join([self.names[b] for b in piece.encode()])
+            ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, pieces: set) -> None:
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        young, old = self.young, self.old
+        for p in pieces:
+            if p not in young:
+                young[p] = old.get(p) or self._ids(p)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each with the end id."""
-        words = [t.encode().split() for t in texts]  # bytes.split() splits at 0x20 and 0x09-0x0D
-        self._learn(set().union(*words))
+        pieces = [self._pieces(t) for t in texts]
+        self._learn(set().union(*pieces))
         of, end = self.young.__getitem__, struct.pack("<I", END_ID)
-        return [np.frombuffer(b"".join(map(of, w)) + end, "<u4") for w in words]
+        return [np.frombuffer(b"".join(map(of, p)) + end, "<u4") for p in pieces]
 
 
 @lru_cache(1)
