@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import checkpointed
+from tidelog.sources.shared import SharedTables, checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -43,6 +43,7 @@ def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
     which the lower has ``first`` set.
     """
     big = rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
+    big = SharedTables(rows.sparkSession).put(big)  # of known size: where few keys are big, the rows need not be dealt by key
     held = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     held = held.withColumn("_block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     lo, hi = F.least("_block", "_other"), F.greatest("_block", "_other")
