@@ -33,9 +33,11 @@ from tidelog.sources.shared import SharedTables
 
 BUCKETS, LONGEST = 1 << 14, 3
 #: Documents of a language that weights and temperature are fitted on; every sixth is for the temperature.
-PER_LANG, EPOCHS = 1500, 2
+PER_LANG, EPOCHS = 1000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
+#: Largest count of a bucket in one row.
+MOST = (1 << 31) - 1
 #: Bytes and texts vectorised together.
 SLICE, ROWS = 1 << 20, 128
 
@@ -167,11 +169,15 @@ def fit(docs: DataFrame) -> Model:
                 if rows:
                     part = lambda values: [values[edges[i] : edges[i + 1]] for i in rows]  # noqa: E731, B023
                     yield _vectors([langs[at + i].as_py() for i in rows], part(bucket), part(count))
-        yield _vectors([None], [np.arange(BUCKETS)], [seen])
+        for at in range(0, BUCKETS, 1 << 12):  # a count per bucket, in parts that fit their type
+            part = seen[at : at + (1 << 12)]
+            while part.any():
+                yield _vectors([None], [np.arange(at, at + len(part))], [np.minimum(part, MOST)])
+                part = part - np.minimum(part, MOST)
 
     shared = SharedTables(docs.sparkSession)
-    found = shared.put(usable.select("lang", drawn.alias("drawn"), "text").mapInArrow(run, "lang string, buckets array<int>, counts array<long>"))
-    total = found.where("lang is null").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = shared.put(usable.select("lang", drawn.alias("drawn"), "text").mapInArrow(run, "lang string, buckets array<short>, counts array<int>"))
+    total = found.where("lang is null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("n"))
     df = np.zeros(BUCKETS)
     for bucket, n in total.collect():
         df[bucket] = n
@@ -182,15 +188,15 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _vectors(langs, buckets, values) -> pa.RecordBatch:
-    lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v), kind)) for v, kind in ((buckets, pa.int32()), (values, pa.int64()))]
+    lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in v])]).astype(np.int32), pa.array(np.concatenate(v), kind)) for v, kind in ((buckets, pa.int16()), (values, pa.int32()))]
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *lists], names=["lang", "buckets", "counts"])
 
 
 def _train(labels: list[str], idf: np.ndarray, sample: pa.Table) -> Model:
     model = Model(labels, idf, np.zeros((BUCKETS, len(labels))), np.zeros(len(labels)))
     number = {x: i for i, x in enumerate(labels)}
-    rows = [(number[lang], np.array(b, np.int64), np.array(c)) for lang, b, c in zip(sample["lang"].to_pylist(), _arrays(sample["buckets"]), _arrays(sample["counts"]), strict=True)]
-    rows = [r for r in rows if len(r[1])]
+    # views of Arrow's buffers; a row is widened while it is used
+    rows = [(number[lang], b, c) for lang, b, c in zip(sample["lang"].to_pylist(), _arrays(sample["buckets"]), _arrays(sample["counts"]), strict=True) if len(b)]
     rows.sort(key=lambda r: (len(r[1]), int(r[1].sum()), int(r[2].sum()), r[0]))  # the same order at every run
     order = np.random.default_rng(17).permutation(len(rows))
     spare, taught = order[::6], np.delete(order, slice(None, None, 6))
@@ -198,8 +204,7 @@ def _train(labels: list[str], idf: np.ndarray, sample: pa.Table) -> Model:
     for _ in range(EPOCHS):
         for i in taught:
             y, b, c = rows[i]
-            x = model.vectors(np.zeros(len(b), np.int64), b, c, 1)
-            learner.learn(b, x, y)
+            learner.learn(b.astype(np.int64), model.vectors(np.zeros(len(b), np.int64), b, c, 1), y)
     w = learner.weights()
     model.weights, model.bias = w[:-1], w[-1]
     if len(spare):
@@ -210,7 +215,7 @@ def _train(labels: list[str], idf: np.ndarray, sample: pa.Table) -> Model:
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     out = []
     for chunk in column.chunks:
-        flat, at = np.array(chunk.flatten()), np.array(chunk.offsets)
+        flat, at = np.asarray(chunk.flatten()), np.asarray(chunk.offsets)
         out += [flat[lo - at[0] : hi - at[0]] for lo, hi in zip(at[:-1], at[1:], strict=True)]
     return out
 
@@ -251,7 +256,7 @@ def _predict(model: Model, column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(langs, pa.string()), pa.array(np.concatenate(scores))
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The documents, with their own columns, whose language is told with a probability of at least ``least``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
