@@ -36,7 +36,7 @@ from tidelog.llm.text import SPACE, slices, strings
 
 WINDOW, END_ID = 2048, 1
 #: Bytes of text tokenised together, and pieces remembered.
-SLICE, REMEMBERED = 1 << 20, 350_000
+SLICE, REMEMBERED = 1 << 20, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
