@@ -377,8 +377,10 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark, shared = docs.sparkSession, SharedTables(docs.sparkSession)
-    # the planner's estimate of the input, of which text is about twice as much
+    # the planner knows the size of files, of which text is about twice as much; of other inputs it does not, and their text is measured
     estimate = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > 1 << 50:
+        estimate = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     n_buckets = max(1, min(-(-estimate // BUCKET), 1 << 24))
     n = max(1, min(n_buckets, 100_000))
     sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_send(n_buckets), _ROWS)
