@@ -64,6 +64,18 @@ def _byte_names() -> list[str]:
     return out
 
 
+class _Memory(dict):
+    """Ids by piece: what is not here is taken from the older memory or found out."""
+
+    def __init__(self, old: dict, find):
+        super().__init__()
+        self.old, self.find = old, find
+
+    def __missing__(self, piece):
+        out = self[piece] = self.old.get(piece) or self.find(piece)
+        return out
+
+
 class WordTokens:
     """Ids of whole texts through their pieces.
 
@@ -76,8 +88,8 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old, self.names = Tokenizer.from_file(path), {}, {}, _byte_names()
-        self.model = self.tokenizer.model
+        self.tokenizer, self.names = Tokenizer.from_file(path), _byte_names()
+        self.model, self.known = self.tokenizer.model, _Memory({}, self._ids)
 
     def _pieces(self, text: str) -> list:
         if not _ODD.search(text):
@@ -96,20 +108,13 @@ class WordTokens:
             ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: set) -> None:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for p in pieces:
-            if p not in young:
-                young[p] = old.get(p) or self._ids(p)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each with the end id."""
-        pieces = [self._pieces(t) for t in texts]
-        self._learn(set().union(*pieces))
-        of, end = self.young.__getitem__, struct.pack("<I", END_ID)
-        return [np.frombuffer(b"".join(map(of, p)) + end, "<u4") for p in pieces]
+        if len(self.known) > REMEMBERED:
+            self.known.old = {}
+            self.known = _Memory(dict(self.known), self._ids)
+        of, end = self.known.__getitem__, struct.pack("<I", END_ID)
+        return [np.frombuffer(b"".join(map(of, self._pieces(t))) + end, "<u4") for t in texts]
 
 
 @lru_cache(1)
