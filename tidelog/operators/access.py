@@ -55,32 +55,36 @@ def ends(table: DataFrame, key: str) -> DataFrame:
     return table.agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
-def _filled(rows: DataFrame, key: Column, ties: list[Column], value: Column, downward: bool, name: str) -> DataFrame:
+def _filled(rows: DataFrame, key: Column, ties: list[Column], value: Column, names: dict[str, bool]) -> DataFrame:
     """In key order, the nearest non-null ``value`` strictly on one side of each row.
 
-    Rows are range-partitioned and filled within each partition; the partitions'
+    ``names`` has each new column with whether it looks downward. Rows are
+    range-partitioned once and filled within each partition; the partitions'
     edge values, one row each, are filled across partitions and joined back. No
     task sees more than its own range, so this has no single-partition window.
     """
     from tidelog.sources.shared import checkpointed
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    put = rows.withColumn("_v", value).repartitionByRange(n, key, *ties).withColumn("_p", F.spark_partition_id())
-    put = checkpointed(put)
-    edge = put.groupBy("_p").agg((F.min("_v") if not downward else F.max("_v")).alias("_edge"))
-    across = Window.orderBy(F.col("_p").desc() if not downward else F.col("_p").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edge.select("_p", F.last("_edge", ignorenulls=True).over(across).alias("_carry"))
-    beyond = (Window.unboundedPreceding, -1) if downward else (1, Window.unboundedFollowing)
-    inside = Window.partitionBy("_p").orderBy(*[c.asc() for c in (key, *ties)]).rowsBetween(*beyond)
-    near = F.last("_v", ignorenulls=True) if downward else F.first("_v", ignorenulls=True)
-    filled = put.withColumn("_near", near.over(inside)).join(carry, "_p")
-    return filled.withColumn(name, F.coalesce("_near", "_carry")).drop("_v", "_p", "_near", "_carry")
+    put = checkpointed(rows.withColumn("_v", value).repartitionByRange(n, key, *ties).withColumn("_p", F.spark_partition_id()))
+    edge = put.groupBy("_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    inside, across = Window.partitionBy("_p").orderBy(*[c.asc() for c in (key, *ties)]), Window.orderBy("_p")
+    before, beyond = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    near, carry = [], []
+    for name, downward in names.items():
+        if downward:
+            near.append(F.last("_v", ignorenulls=True).over(inside.rowsBetween(*before)).alias(f"_near_{name}"))
+            carry.append(F.last("_hi", ignorenulls=True).over(across.rowsBetween(*before)).alias(f"_carry_{name}"))
+        else:
+            near.append(F.first("_v", ignorenulls=True).over(inside.rowsBetween(*beyond)).alias(f"_near_{name}"))
+            carry.append(F.first("_lo", ignorenulls=True).over(across.rowsBetween(*beyond)).alias(f"_carry_{name}"))
+    filled = put.select("*", *near).join(edge.select("_p", *carry), "_p")
+    return filled.select(*rows.columns, *[F.coalesce(f"_near_{name}", f"_carry_{name}").alias(name) for name in names])
 
 
 def neighbours(table: DataFrame, key: str) -> DataFrame:
     """Each key of a unique-key table with its predecessor and successor."""
-    up = _filled(table.select(key), F.col(key), [], F.col(key), False, "next_key")
-    return _filled(up, F.col(key), [], F.col(key), True, "prev_key").select(key, "prev_key", "next_key")
+    return _filled(table.select(key), F.col(key), [], F.col(key), {"prev_key": True, "next_key": False})
 
 
 def lower_bounds(table: DataFrame, probes: DataFrame, key: str, target: str) -> DataFrame:
@@ -91,7 +95,7 @@ def lower_bounds(table: DataFrame, probes: DataFrame, key: str, target: str) ->
     """
     marked = probes.select(F.col(target).alias("_k"), F.lit(0).alias("_t"), F.lit(None).cast(table.schema[key].dataType).alias("_key"))
     both = marked.unionByName(table.select(F.col(key).alias("_k"), F.lit(1).alias("_t"), F.col(key).alias("_key")))
-    out = _filled(both, F.col("_k"), [F.col("_t")], F.col("_key"), False, "lower_bound")
+    out = _filled(both, F.col("_k"), [F.col("_t")], F.col("_key"), {"lower_bound": False})
     return out.where(F.col("_t") == 0).select(F.col("_k").alias(target), "lower_bound")
 
 
