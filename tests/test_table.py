@@ -177,3 +177,72 @@ def test_stream_append(spark, tmp_path):
     q = latest_stream(read().withColumn("is_del", F.lit(False)), ["key"], "seq", ["value"], "is_del").writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((bytes(r.key), r.seq) for r in spark.table("newest").collect()) == [(b"a", 3), (b"b", 2)]
+
+
+def test_single_row_batches_keep_their_order(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t")
+    for value in (b"b", b"a", b"c", b""):
+        t.add(kv(spark, [(b"k", value)]), "n")
+        assert t.get(b"k") == (True, value)
+    assert t.get_version(b"k") == 3 and t.get_version(b"l") is None
+    t.delete(keys(spark, [b"k"]))
+    assert t.get(b"k") == (False, None) and t.get_version(b"k") is None
+
+
+def test_orders_clashing_columns_and_null_values(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t")
+    rows = [(bytearray(b"a"), None, 2, "x"), (bytearray(b"a"), bytearray(b"1"), 1, "y"), (bytearray(b"b"), bytearray(b"2"), 3, "z")]
+    df = spark.createDataFrame(rows, "key binary, value binary, seq int, is_del string").withColumn("_p", F.lit(0)).withColumn("_i", F.lit(0))
+    t.add(df, "seq")
+    assert content(t) == [(b"a", b""), (b"b", b"2")]
+    t.add(df, [-F.col("seq")])
+    assert content(t) == [(b"a", b"1"), (b"b", b"2")]
+    t.add_if_absent(df.withColumn("key", F.lit(b"c")), [F.col("is_del").desc()])
+    assert t.get(b"c") == (True, b"2")
+
+
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t", num_shards=4)
+    hot = spark.range(4000).select(F.lit(b"hot").alias("key"), F.col("id").cast("string").cast("binary").alias("value"), F.col("id").alias("n"))
+    t.add(hot, "n")
+    sizes = [r["count"] for r in t.log().groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    assert content(t) == [(b"hot", b"3999")]
+
+
+def test_cursor_walks_both_ways(spark, tmp_path):
+    from tidelog.sources.cursor import Cursor
+
+    t = Table.open(spark, f"{tmp_path}/t")
+    ks = [b"%02d" % i for i in range(0, 20, 2)]
+    t.add(kv(spark, [(k, b"v" + k) for k in ks]), "n")
+    assert not t.cursor().valid()
+    for page in (2, 256):
+        c = Cursor(t.current(), page)
+        c.seek_to_first()
+        seen = []
+        while c.valid():
+            seen.append((c.key(), c.value()))
+            c.next()
+        assert seen == [(k, b"v" + k) for k in ks]
+        with pytest.raises(ValueError):
+            c.key()
+        with pytest.raises(ValueError):
+            c.next()
+        with pytest.raises(ValueError):
+            c.prev()
+        c.seek(b"07")
+        assert c.key() == b"08"
+        c.prev()
+        assert c.key() == b"06"
+        c.next()
+        c.next()
+        assert c.key() == b"10"
+        c.seek_to_last()
+        c.prev()
+        c.next()
+        assert c.key() == ks[-1]
+        c.next()
+        assert not c.valid()
+        c.seek(b"99")
+        assert not c.valid()

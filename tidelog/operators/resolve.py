@@ -55,19 +55,21 @@ def garbage(log: DataFrame, keys: Sequence[str], seq: str, is_del: str) -> DataF
     return state.select(*keys, "n_versions", needed.alias("n_live"), (F.col("n_versions") - needed).alias("n_garbage"))
 
 
-def sequenced(batch: DataFrame, order_by: Sequence[Column | str], base: int) -> DataFrame:
+def sequenced(batch: DataFrame, order_by: Sequence[Column | str], base: int, carried: Sequence[str] | None = None) -> DataFrame:
     """Numbers a batch from ``base`` in the caller's total order, without a single-task window.
 
     Range partitions are sorted on their own; only one count per partition goes
     to the driver, which turns it into each partition's first number. The sorted
     batch is cut from its lineage in between, for its partitions to stay as counted.
+    ``carried`` names the columns to keep, all by default; a ``seq`` among them is replaced.
     """
     from tidelog.sources.shared import checkpointed
 
     n = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = batch.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    placed = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    placed = checkpointed(placed)
+    names = [c for c in (batch.columns if carried is None else carried) if c != "seq"]
+    placed = checkpointed(ranged.select(F.struct(*names).alias("_row"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
+    row = [F.col("_row")[c].alias(c) for c in names]
     counts = {r["_p"]: (r["n"], r["lo"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("lo")).collect()}
     shift, at = [], base
     for p in sorted(counts):
@@ -75,5 +77,5 @@ def sequenced(batch: DataFrame, order_by: Sequence[Column | str], base: int) ->
         shift += [F.lit(p), F.lit(at - lo)]
         at += n_rows
     if not shift:
-        return placed.select(*batch.columns, F.lit(base).cast("bigint").alias("seq"))
-    return placed.select(*batch.columns, (F.col("_i") + F.element_at(F.create_map(*shift), F.col("_p"))).alias("seq"))
+        return placed.select(*row, F.lit(base).cast("bigint").alias("seq"))
+    return placed.select(*row, (F.col("_i") + F.element_at(F.create_map(*shift), F.col("_p"))).alias("seq"))

@@ -7,11 +7,12 @@ there is nothing to repair. A handle reads the version it was opened at.
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import access, resolve
 from tidelog.schema import CURRENT, OPLOG
+from tidelog.sources.cursor import Cursor
 from tidelog.sources.manifest import Manifest
 from tidelog.sources.shared import remove
 
@@ -58,9 +59,14 @@ class Table:
 
     def _append(self, rows: DataFrame, next_seq: int | None, level: int = 0, replacing: bool = False) -> int:
         name = f"batch-{uuid.uuid4().hex}"
-        put = rows.select([F.col(f.name).cast(f.dataType) for f in OPLOG]).repartition(self.num_shards, "key").sortWithinPartitions("key", "seq")
+        # Ranges over (key, seq) keep files in key order, so that a key predicate skips row groups, and split a hot key over tasks.
+        n = max(self.num_shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        put = rows.select([F.col(f.name).cast(f.dataType) for f in OPLOG]).repartitionByRange(n, "key", "seq").sortWithinPartitions("key", "seq")
         put.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        seq = next_seq if next_seq is not None else max(self.manifest.get("seq"), 1 + (self.spark.read.schema(OPLOG).parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0] or -1))
+        seq = next_seq
+        if seq is None:
+            top = self.spark.read.schema(OPLOG).parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0]
+            seq = max(self.manifest.get("seq"), 0 if top is None else top + 1)
         values = dict(self.manifest.values)
         values["batches"] = ([] if replacing else values["batches"]) + [{"dir": name, "level": level}]
         values["seq"] = seq
@@ -69,19 +75,22 @@ class Table:
 
     def _checked(self, df: DataFrame) -> DataFrame:
         bad = F.col("key").isNull() | (F.octet_length("key") == 0)
-        return df.withColumn("key", F.when(bad, F.raise_error(F.lit("a key has at least one byte"))).otherwise(F.col("key").cast("binary")))
+        out = df.withColumn("key", F.when(bad, F.raise_error(F.lit("a key has at least one byte"))).otherwise(F.col("key").cast("binary")))
+        if "value" in df.columns:
+            out = out.withColumn("value", F.coalesce(F.col("value").cast("binary"), F.lit(b"")))
+        return out
+
+    def _numbered(self, df: DataFrame, order_by) -> DataFrame:
+        order = [order_by] if isinstance(order_by, (str, Column)) else [*order_by]
+        return resolve.sequenced(self._checked(df), order, self.manifest.get("seq"), ["key", "value"])
 
     def add(self, df: DataFrame, order_by) -> int:
-        """Upserts (key, value); within the batch the last row by ``order_by`` wins."""
-        base = self.manifest.get("seq")
-        rows = resolve.sequenced(self._checked(df), order_by, base).withColumn("is_del", F.lit(False))
-        return self._append(rows, None)
+        """Upserts (key, value), null values as empty ones; within the batch the last row by ``order_by`` wins."""
+        return self._append(self._numbered(df, order_by).withColumn("is_del", F.lit(False)), None)
 
     def add_if_absent(self, df: DataFrame, order_by) -> int:
         """Adds keys the table lacks; of a key's rows in the batch the first by ``order_by`` stays."""
-        base = self.manifest.get("seq")
-        rows = resolve.sequenced(self._checked(df).select("key", "value", *[c for c in order_by if isinstance(c, str) and c not in ("key", "value")]), order_by, base)
-        first = resolve.first_wins(rows, ["key"], "seq", ["value"])
+        first = resolve.first_wins(self._numbered(df, order_by), ["key"], "seq", ["value"])
         return self._append(resolve.absent_only(first, self.current(), ["key"]).withColumn("is_del", F.lit(False)), None)
 
     def merge_versions(self, df: DataFrame) -> int:
@@ -126,6 +135,15 @@ class Table:
         found = access.get(self.current(), "key", bytearray(key)).take(1)
         return (True, bytes(found[0]["value"])) if found else (False, None)
 
+    def get_version(self, key: bytes) -> int | None:
+        """The version that a read of ``key`` sees; None if the key is not there."""
+        newest = resolve.live(access.get(self.log(), "key", bytearray(key)), ["key"], "seq", ["value"], "is_del").take(1)
+        return newest[0]["seq"] if newest else None
+
+    def cursor(self) -> Cursor:
+        """An unpositioned cursor over this version."""
+        return Cursor(self.current())
+
     def multi_get(self, probes: DataFrame) -> DataFrame:
         return access.multi_get(self.current(), probes, "key", ["value"])
 
