@@ -246,3 +246,23 @@ def test_cursor_walks_both_ways(spark, tmp_path):
         assert not c.valid()
         c.seek(b"99")
         assert not c.valid()
+
+
+def test_levels_merge_and_keep_tombstones(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t")
+    t.add(kv(spark, [(b"a", b"1"), (b"b", b"1")]), "n")
+    t.add(kv(spark, [(b"c", b"1")]), "n")
+    assert not t.merge_level(2)  # one batch of level 1
+    t.delete(keys(spark, [b"a"]))
+    t.add(kv(spark, [(b"c", b"2")]), "n")
+    old = t.version
+    assert t.merge_level(2)  # the tombstone stays: the other batch of level 1 holds its key
+    assert content(t) == [(b"b", b"1"), (b"c", b"2")] and t.stats().first().n_versions == 5
+    assert not t.merge_level(2)
+    assert content(t) == [(b"b", b"1"), (b"c", b"2")] and t.stats().first().n_versions == 2
+    assert not t.merge_level(2)
+    t.add(kv(spark, [(b"a", b"3")]), "n")
+    assert content(t) == [(b"a", b"3"), (b"b", b"1"), (b"c", b"2")]
+    assert content(Table.open(spark, f"{tmp_path}/t", version=old)) == [(b"b", b"1"), (b"c", b"2")]
+    with pytest.raises(ValueError):
+        t.merge_level(1)

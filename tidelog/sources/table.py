@@ -46,7 +46,10 @@ class Table:
 
     def log(self) -> DataFrame:
         """All versions of all keys that this table version lists."""
-        paths = [f"{self.path}/{b['dir']}" for b in self.manifest.get("batches")]
+        return self._read(self.manifest.get("batches"))
+
+    def _read(self, batches: list[dict]) -> DataFrame:
+        paths = [f"{self.path}/{b['dir']}" for b in batches]
         return self.spark.read.schema(OPLOG).parquet(*paths) if paths else self.spark.createDataFrame([], OPLOG)
 
     def current(self) -> DataFrame:
@@ -57,7 +60,7 @@ class Table:
 
     # writes
 
-    def _append(self, rows: DataFrame, next_seq: int | None, level: int = 0, replacing: bool = False) -> int:
+    def _append(self, rows: DataFrame, next_seq: int | None, level: int = 0, replacing: list[dict] | None = None) -> int:
         name = f"batch-{uuid.uuid4().hex}"
         # Ranges over (key, seq) keep files in key order, so that a key predicate skips row groups, and split a hot key over tasks.
         n = max(self.num_shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -68,7 +71,7 @@ class Table:
             top = self.spark.read.schema(OPLOG).parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0]
             seq = max(self.manifest.get("seq"), 0 if top is None else top + 1)
         values = dict(self.manifest.values)
-        values["batches"] = ([] if replacing else values["batches"]) + [{"dir": name, "level": level}]
+        values["batches"] = [b for b in values["batches"] if b not in (replacing or [])] + [{"dir": name, "level": level}]
         values["seq"] = seq
         self.manifest = Manifest(self.spark, self.manifest.folder, self.manifest.version, values).commit()
         return self.version
@@ -108,11 +111,35 @@ class Table:
 
     def compact(self) -> bool:
         """Rewrites the live rows as one base batch. Returns whether more could be done: after a full rewrite, no."""
-        if len(self.manifest.get("batches")) > 1 or any(b["level"] == 0 for b in self.manifest.get("batches")):
-            rows = resolve.live(self.log(), ["key"], "seq", ["value"], "is_del").withColumn("is_del", F.lit(False))
-            self._append(rows, self.manifest.get("seq"), level=1, replacing=True)
+        batches = self.manifest.get("batches")
+        if len(batches) > 1 or any(b["level"] == 0 for b in batches):
+            self._rewrite(batches, 1 + max(b["level"] for b in batches))
         return False
 
+    def merge_level(self, fanout: int = 8) -> bool:
+        """Merges the lowest level that has ``fanout`` batches into one of the next, and returns whether more could be done.
+
+        Repeated after writes this rewrites a row once per level, about log(size) times in all, where
+        :meth:`compact` rewrites the whole table. Versions decide between rows, so any batches can be merged.
+        """
+        if fanout < 2:
+            raise ValueError("at least two batches are merged")
+        at = self._full_level(fanout)
+        if at is not None:
+            self._rewrite([b for b in self.manifest.get("batches") if b["level"] == at], at + 1)
+        return self._full_level(fanout) is not None
+
+    def _full_level(self, fanout: int) -> int | None:
+        levels = [b["level"] for b in self.manifest.get("batches")]
+        return min((n for n in levels if levels.count(n) >= fanout), default=None)
+
+    def _rewrite(self, batches: list[dict], level: int) -> None:
+        """One batch with the newest version of each key; tombstones go where no other batch may hold what they hide."""
+        newest = resolve.latest(self._read(batches), ["key"], "seq", ["value"], "is_del")
+        if len(batches) == len(self.manifest.get("batches")):
+            newest = newest.where(~F.col("is_del"))
+        self._append(newest, self.manifest.get("seq"), level, replacing=batches)
+
     def vacuum(self) -> int:
         """Removes batch folders that this version does not list. Older versions cannot be opened afterwards."""
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
