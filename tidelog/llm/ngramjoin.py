@@ -47,6 +47,8 @@ NUMERATOR, DENOMINATOR = 100, 80
 COMMON = 64
 #: Bytes of text hashed together, of a block, and per bucket; sets of a group that stay together.
 SLICE, BLOCK, BUCKET, GROUP = 2 << 20, 12 << 20, 16 << 20, 2048
+#: Components with over one in HOT of all rows are joined without an exchange.
+HOT = 256
 
 #: Ratio of the sizes of neighbouring classes; just over the largest ratio of linked sets.
 CLASS = 1.01 * NUMERATOR / DENOMINATOR
@@ -406,7 +408,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = close.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
     roots = components(shared.put(found))
     rows = met.where(F.col("kind") == _DOC).select("doc_id", "cid", "size")
-    rows = rows.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("root", "cid")).alias("class"))
-    smallest = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("class", "_class")
-    out = rows.join(smallest, F.col("class") == F.col("_class"), "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = shared.put(rows.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("root", "cid")).alias("class")))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = shared.put(classes.withColumnRenamed("class", "_class"))
+    # classes with over a HOT-th of all rows, fewer than HOT, come to their rows; only the rows of others are dealt by class
+    hot = F.col("n") * HOT > rows.count()
+    large, small = F.broadcast(classes.where(hot).drop("n")), classes.where(~hot).drop("n")
+    on = F.col("class") == F.col("_class")
+    there = rows.join(large, on, "left").where("_class is not null or class is null")
+    dealt = rows.where("class is not null").join(large, on, "left_anti").join(small, on, "left")
+    return there.unionByName(dealt).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
