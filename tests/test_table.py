@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import codec, slices
 from tidelog.operators import access, resolve, shards
+from tidelog.plans.registry import QUERIES
 from tidelog.sources import files
 from tidelog.sources.manifest import CommitConflict, Manifest
 from tidelog.sources.table import Table
@@ -128,6 +129,13 @@ def test_slices_and_tokens(spark):
     assert (r.x, r.y, r.b, r.z, r.o, r.s, r.n, r.odd) == ("a[0][127][195]", "", 195, None, 2**31 - 1, 2**31 - 1, True, None)
 
 
+def test_whole_texts_are_escaped(spark, tmp_path):
+    texts = ["x" * 40 + "é\n\x7f~ end", "".join(map(chr, range(1, 300))) * 20, "\0" * 41, ""]
+    spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.item_id: r.shown for r in QUERIES["q19c_slice_escape_whole"](spark, str(tmp_path)).collect()}
+    assert got == {101 * i: "".join(chr(b) if 32 <= b <= 126 else f"[{b}]" for b in t.encode()) for i, t in enumerate(texts) if t}
+
+
 def test_shard_hash_of_high_bytes(spark):
     def model(b):
         h = 0

@@ -51,10 +51,8 @@ def bytes_of(a: Column) -> Column:
 
 def escape(a: Column) -> Column:
     """Printable ASCII as it is, any other byte as its decimal in brackets."""
-    shown = F.transform(
-        bytes_of(a),
-        lambda b: F.when((b >= 32) & (b <= 126), F.chr(b.cast("bigint"))).otherwise(F.concat(F.lit("["), b.cast("string"), F.lit("]"))),
-    )
+    chars = F.filter(F.split(F.decode(a.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")  # one per byte
+    shown = F.transform(chars, lambda c: F.when((c >= " ") & (c <= "~"), c).otherwise(F.concat(F.lit("["), F.ascii(c).cast("string"), F.lit("]"))))
     return F.array_join(shown, "")
 
 

@@ -233,6 +233,14 @@ def q19b(spark, d):
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), slices.escape(F.substring("text", 1, 40)).alias("shown"))
 
 
+@_query("q19c_slice_escape_whole", """select conv_id * 100 + turn as item_id, list_aggregate(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x:
+    case when ('0x' || x)::int between 32 and 126 then chr(('0x' || x)::int) else '[' || ('0x' || x)::int || ']' end), 'string_agg', '') as shown
+    from conversations where text <> ''""")
+def q19c(spark, d):
+    c = _t(spark, d, "conversations").where(F.col("text") != "")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), slices.escape(F.col("text")).alias("shown"))
+
+
 @_query("q20_nul_collision_check", """select regexp_replace(k, '(00)+$', '') as trimmed, count(*) as n_keys
     from (select hex(encode(c_mktsegment)) || repeat('00', c_custkey % 3) as k from (select c_mktsegment, min(c_custkey) as c_custkey from customer group by c_mktsegment, c_custkey % 3)) group by 1 having count(*) > 1""")
 def q20(spark, d):
