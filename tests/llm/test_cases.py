@@ -68,6 +68,15 @@ def test_targets_by_repeated_resharing(spark):
         assert [got[f"s{i:02d}"] for i in range(len(sizes))] == pytest.approx(target)
 
 
+def test_language_sample_is_of_1500(spark, monkeypatch):
+    docs = spark.range(1900).selectExpr("id as doc_id", "concat('word ', id) as text", "'en' as lang")
+    usable = docs.count() - docs.where(langid.held_out(F.col("doc_id"))).count()
+    taught, train = [], langid._train
+    monkeypatch.setattr(langid, "_train", lambda labels, idf, sample: taught.append(sample.num_rows) or train(labels, idf, sample))
+    langid.fit(docs)
+    assert 1200 < usable < 1500 and taught == [usable]
+
+
 def test_language_cases(spark):
     docs = odd_docs(spark)
     model = langid.fit(docs)
