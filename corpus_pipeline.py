@@ -14,7 +14,7 @@ from tidelog.sources.shared import SharedTables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of which no language is likelier than 0.3, go."""
+    """Documents without letters, and those of which no language is likelier than 0.4, go."""
     return langid.identified(docs, langid.fit(docs))
 
 

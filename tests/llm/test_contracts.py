@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import components, shingle_set, words
 from tests.oracle import SF, compare
@@ -47,6 +48,15 @@ def test_languages_of_held_out_documents(spark):
     assert langid.UNKNOWN == "und"
 
 
+def test_junk_letters_have_no_language(spark):
+    loaded = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(loaded)
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300)) for _ in range(300)]
+    assert langid.identified(spark.createDataFrame([(t,) for t in junk], "text string"), model).count() == 0
+    assert langid.identified(loaded.where(langid.held_out(F.col("doc_id"))), model).count() == loaded.where(langid.held_out(F.col("doc_id"))).count()
+
+
 def test_vectors_against_all_pairs(spark):
     d = "/root/testdata/sf0.001"
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").collect()

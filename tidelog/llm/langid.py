@@ -256,7 +256,7 @@ def _predict(model: Model, column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(langs, pa.string()), pa.array(np.concatenate(scores))
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+def identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """The documents, with their own columns, whose language is told with a probability of at least ``least``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
