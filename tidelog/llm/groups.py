@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     is a few aggregations and joins on nodes with one row per link, so a hub is
     never collected; each round is cut from its lineage in the shared folder.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
     while True:
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
@@ -34,20 +34,23 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
-    """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows.
+def split(rows: DataFrame, key: str, by: Column, most: int, weight: Column | None = None, heaviest: int = 0) -> DataFrame:
+    """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows, or twice ``heaviest`` of their ``weight``.
 
-    A key with more rows than ``most`` is cut into blocks by a hash of ``by``,
-    and each pair of blocks is a part of its own, so that every two rows of a
-    key meet in one part. The rows of a part are of one block, or of two of
-    which the lower has ``first`` set.
+    A key with more is cut into blocks by a hash of ``by``, and each pair of
+    blocks is a part of its own, so that every two rows of a key meet in one
+    part. The rows of a part are of one block, or of two of which the lower has
+    ``first`` set.
     """
-    big = rows.groupBy(key).count().where(F.col("count") > most).select(F.col(key).alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
+    load = F.count(F.lit(1)) / most
+    if weight is not None:
+        load = F.greatest(load, F.sum(weight) / heaviest)
+    big = rows.groupBy(key).agg(F.ceil(load).cast("int").alias("_blocks")).where("_blocks > 1").select(F.col(key).alias("_key"), "_blocks")
     big = SharedTables(rows.sparkSession).put(big)  # of known size: where few keys are big, the rows need not be dealt by key
     held = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     held = held.withColumn("_block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     lo, hi = F.least("_block", "_other"), F.greatest("_block", "_other")
-    held = held.withColumn("part", (lo * F.col("_blocks") + hi).cast("int")).withColumn("first", F.col("_block") == lo)
+    held = held.withColumn("part", (lo * F.col("_blocks") + hi).cast("long")).withColumn("first", F.col("_block") == lo)
     return held.drop("_key", "_blocks", "_block", "_other")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.groups import Sets, components, runs, split
-from tidelog.llm.text import Words, buffers, mixed, shingles, slices, strings
+from tidelog.llm.text import Words, buffers, lean, mixed, shingles, slices, strings
 from tidelog.sources.shared import SharedTables
 
 WORDS = 5
@@ -45,17 +45,20 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 100, 80
 #: Texts of a block, or of all blocks, from which a shingle counts as common.
 COMMON = 64
-#: Bytes of text hashed together, of a block, and per bucket; sets of a group that stay together.
-SLICE, BLOCK, BUCKET, GROUP = 2 << 20, 12 << 20, 16 << 20, 2048
+#: Bytes of text hashed together, of a block, and per bucket. A worker takes about ten times as much as a block or bucket has.
+SLICE, BLOCK, BUCKET = 1 << 20, 8 << 20, 8 << 20
+#: Sets, and shingles of theirs, that stay together in a group.
+GROUP, GROUP_GRAMS = 2048, 1 << 20
 #: Components with over one in HOT of all rows are joined without an exchange.
 HOT = 256
 
 #: Ratio of the sizes of neighbouring classes; just over the largest ratio of linked sets.
 CLASS = 1.01 * NUMERATOR / DENOMINATOR
 
-_ROWS = "kind int, bucket long, block long, doc_id long, cid long, size long, idx int, payload binary"
+_ROWS = "kind int, bucket long, block long, doc_id long, text_hash long, n_shingles long, cid long, size long, idx int, payload binary"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_TYPES = [pa.int32(), *[pa.int64()] * 7, pa.int32(), pa.binary()]
+_SETS = "doc_id long, text_hash long, n_shingles long, cid long, size long, ahead int, ahead_small int, grams array<long>"
 _DOC, _ANSWER, _PAIRS = 0, 1, 2
 _HASH = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
@@ -100,25 +103,41 @@ class _Block:
 
     def __init__(self, number: int, n_buckets: int):
         self.number, self.edges = number, np.array([-(-(b << 48) // n_buckets) << 16 for b in range(1, n_buckets)], np.uint64)
-        self.n_buckets, self.keys, self.cids, self.ids, self.size, self.bytes = n_buckets, [], [], [], 0, 0
+        self.n_buckets, self.keys, self.cids, self.sizes, self.ids, self.size, self.bytes = n_buckets, [], [], [], [], 0, 0
 
-    def add(self, ids: pa.Array, texts: pa.StringArray) -> None:
+    def add(self, named: list[pa.Array], texts: pa.StringArray) -> None:
+        """``named``: ids and hashes of the texts."""
         data, at = buffers(texts)
         words = Words(data, at)
         h, doc = shingles(words, words.hashes(lower=True), WORDS)
+        keys = np.sort((h & ~_LOW) | doc.astype(np.uint64))
+        again = keys[1:] == keys[:-1]
+        sizes = np.bincount((keys & _LOW).astype(np.int64), minlength=len(texts))
+        if again.any():  # of the texts that repeat shingles, or have two that are one in 48 bits, those of 64 are counted
+            odd = np.zeros(len(texts), bool)
+            odd[(keys[1:][again] & _LOW).astype(np.int64)] = True
+            at = odd[doc]
+            pairs = np.unique(np.stack([doc[at].astype(np.uint64), h[at]], axis=1), axis=0)
+            sizes[odd] = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(texts))[odd]
+            keys = np.append(keys[:1], keys[1:][~again])
+        heads = np.flatnonzero(np.diff(doc, prepend=-1))  # a text's shingles are one run
         total = np.zeros(len(texts), np.uint64)
-        np.add.at(total, doc, mixed(h.copy()))
+        if len(heads):
+            total[doc[heads]] = np.add.reduceat(mixed(h.copy()), heads)
+        self.sizes.append(sizes)
         self.cids.append(mixed(total + np.bincount(doc, minlength=len(texts)).astype(np.uint64)).view(np.int64))
-        self.keys.append(np.unique((h & ~_LOW) | (doc + self.size).astype(np.uint64)))
-        self.ids += ids.to_pylist()
+        self.keys.append(keys + np.uint64(self.size))
+        self.ids.append(named)
         self.size += len(texts)
         self.bytes += len(data)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         keys = np.sort(np.concatenate(self.keys))
-        sizes, cids = np.bincount((keys & _LOW).astype(np.int64), minlength=self.size), np.concatenate(self.cids)
-        n = self.size
-        yield _rows(kind=np.full(n, _DOC), bucket=np.arange(n) % self.n_buckets, block=np.full(n, self.number), doc_id=self.ids, cid=cids, size=sizes, idx=np.arange(n))
+        self.keys.clear()
+        cids, n = np.concatenate(self.cids), self.size
+        sizes = np.bincount((keys & _LOW).astype(np.int64), minlength=n)  # shingles as the join sees them, of 48 bits
+        ids, hashes = (pa.concat_arrays(x) for x in zip(*self.ids, strict=True))
+        yield _rows(kind=np.full(n, _DOC), bucket=np.arange(n) % self.n_buckets, block=np.full(n, self.number), doc_id=ids, text_hash=hashes, n_shingles=np.concatenate(self.sizes), cid=cids, size=sizes, idx=np.arange(n))
         # equal texts of a block speak once
         spoken = np.zeros(n, bool)
         spoken[np.unique(cids, return_index=True)[1]] = True
@@ -154,12 +173,13 @@ def _answered(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (keys & _LOW).astype(np.int64), (keys >> _HASH).astype(np.int64) | common << 48
 
 
-def _send(n_buckets: int):
+def _send(n_buckets: int, block_bytes: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 28
         block = _Block(number, n_buckets)
         for batch in batches:
-            ids, texts = batch.column(0), strings(batch.column(1))
+            texts = strings(batch.column(2))
             for lo, hi in slices(texts, SLICE):
                 for at in range(lo, hi, 1 << 14):
                     n = min(1 << 14, hi - at)
@@ -167,8 +187,8 @@ def _send(n_buckets: int):
                         yield from block.rows()
                         number += 1
                         block = _Block(number, n_buckets)
-                    block.add(ids.slice(at, n), texts.slice(at, n))
-                if block.bytes >= BLOCK:
+                    block.add([batch.column(i).slice(at, n) for i in (0, 1)], texts.slice(at, n))
+                if block.bytes >= block_bytes:
                     yield from block.rows()
                     number += 1
                     block = _Block(number, n_buckets)
@@ -178,6 +198,7 @@ def _send(n_buckets: int):
     return run
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers of each bucket; rows of other kinds pass."""
     def passed() -> Iterator[pa.RecordBatch]:
@@ -203,8 +224,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = group["bucket"][0].as_py()
         del group
         keys, owner, counted, times = map(np.concatenate, (keys, owner, counted, times))
-        order = np.argsort(keys >> _HASH, kind="stable")
+        order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
+        del order
         h = keys >> _HASH
         heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         each = np.diff(np.append(heads, len(h)))
@@ -235,37 +257,49 @@ def _prefix(size: np.ndarray) -> np.ndarray:
     return size - -(-size * DENOMINATOR // NUMERATOR) + 1
 
 
+@lean
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ordered shared shingles of those texts whose prefix has any.
+    """A row for each text, and the ordered shared shingles of those texts whose prefix has any.
 
     ``ahead`` of them are in the prefix, ``ahead_small`` in the shorter one that
-    is enough where the partner is not smaller.
+    is enough where the partner is not smaller; a text's own row has no shingles.
     """
+    names = [c.split()[0] for c in _SETS.split(", ")]
     for group in runs(batches, ["block"]):
         kind = np.asarray(group["kind"])
-        docs = group.filter(pa.array(kind == _DOC))
-        answers = group.filter(pa.array(kind == _ANSWER))
-        if not answers.num_rows:
+        docs = group.filter(pa.array(kind == _DOC)).combine_chunks()
+        answers = group.filter(pa.array(kind == _ANSWER))["payload"].to_pylist()
+        del group
+        n = docs.num_rows
+        numbers = pa.nulls(n, pa.int32())
+        own = [docs[c].combine_chunks() for c in names[:5]]
+        yield pa.RecordBatch.from_arrays([*own, numbers, numbers, pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        if not answers:
             continue
-        idx, place = zip(*(_answered(p.as_py()) for p in answers["payload"]), strict=True)
+        idx, place = zip(*map(_answered, answers), strict=True)
+        answers.clear()
         idx, place = np.concatenate(idx), np.concatenate(place)
         order = np.lexsort((place, idx))
         idx, place = idx[order], place[order]
+        del order
         n = int(np.asarray(docs["idx"]).max()) + 1
         size, cid = np.zeros(n, np.int64), np.zeros(n, np.int64)
         size[np.asarray(docs["idx"])], cid[np.asarray(docs["idx"])] = np.asarray(docs["size"]), np.asarray(docs["cid"])
         at = np.searchsorted(idx, np.arange(n + 1))
+        del idx
         shared = np.diff(at)
         ahead = _prefix(size) - (size - shared)
         small = size - -(-DENOMINATOR * 2 * size // (NUMERATOR + DENOMINATOR)) + 1 - (size - shared)
         keep = np.flatnonzero((ahead > 0) & (shared > 0))
-        for lo in range(0, len(keep), 2048):
-            rows = keep[lo : lo + 2048]
+        for lo in range(0, len(keep), 512):
+            rows = keep[lo : lo + 512]
             lengths = shared[rows]
             spots = np.arange(int(lengths.sum())) + np.repeat(at[rows] - np.cumsum(lengths) + lengths, lengths)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(place[spots]))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.array(size[rows]), *[pa.array(np.clip(x[rows], 0, lengths).astype(np.int32)) for x in (ahead, small)], lists], names=["cid", "size", "ahead", "ahead_small", "grams"])
+            unnamed = pa.nulls(len(rows), pa.int64())
+            counts = [pa.array(np.clip(x[rows], 0, lengths).astype(np.int32)) for x in (ahead, small)]
+            yield pa.RecordBatch.from_arrays([unnamed, unnamed, unnamed, pa.array(cid[rows]), pa.array(size[rows]), *counts, lists], names=names)
 
 
 class _Node:
@@ -370,26 +404,23 @@ def _joined(group: pa.Table) -> dict[str, np.ndarray]:
     return {"a": cid[moved], "b": cid[root[moved]]}
 
 
+@lean
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in runs(batches, ["comp", "part"]):
         if group.num_rows > 1:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in _joined(group).items()})
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    spark, shared = docs.sparkSession, SharedTables(docs.sparkSession)
-    # the planner knows the size of files, of which text is about twice as much; of other inputs it does not, and their text is measured
-    estimate = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate > 1 << 50:
-        estimate = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    n_buckets = max(1, min(-(-estimate // BUCKET), 1 << 24))
-    n = max(1, min(n_buckets, 100_000))
-    sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_send(n_buckets), _ROWS)
-    met = shared.put(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = met.select("kind", "block", "cid", "size", "idx", "payload").repartition(parts, "block").sortWithinPartitions("block", "kind")
-    sets = shared.put(told.mapInArrow(_assemble, "cid long, size long, ahead int, ahead_small int, grams array<long>"))
+def _classed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and class of every row, in the shared folder; rows that reach each other by links have one class, those without words none."""
+    shared = SharedTables(docs.sparkSession)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n_buckets = max(1, min(-(-n_bytes // bucket_bytes), 1 << 24))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    sent = texts.mapInArrow(_send(n_buckets, block_bytes), _ROWS)
+    met = sent.repartition(min(n_buckets, 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ROWS).drop("bucket")
+    sets = shared.put(met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_assemble, _SETS))
+    own_rows, sets = sets.where("ahead is null").select("doc_id", "text_hash", "n_shingles", "cid"), sets.where("ahead is not null").select("cid", "size", "ahead", "ahead_small", "grams")
     # linked sets are of one size class, or the smaller is of the class below and is shown in the other too
     size_class = F.floor(F.log("size") / math.log(CLASS)).cast("int")
     own = sets.select("cid", size_class.alias("class"), F.lit(1).alias("native"), F.slice("grams", F.lit(1), F.col("ahead")).alias("_h"))
@@ -397,24 +428,62 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     node = F.xxhash64("cid", "class")
     heads = own.unionByName(up).select(node.alias("n"), "native", F.explode("_h").alias("_g"), "class").select("n", "native", F.xxhash64("_g", "class").alias("gram"))
     least = heads.groupBy("gram").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("native").alias("natives")).where("least < most and natives = 1")
-    met_by = heads.join(least.select(F.col("gram").alias("_gram"), "least"), F.col("gram") == F.col("_gram")).where("n <> least").select(F.col("n").alias("a"), F.col("least").alias("b")).distinct()
+    met_by = heads.join(least.select(F.col("gram").alias("_gram"), "least"), F.col("gram") == F.col("_gram")).where("n <> least").select(F.col("n").alias("a"), F.col("least").alias("b"))
     rough = components(met_by)
     rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())
     # only numbers move until it is known where a set goes
-    shown = sets.select("cid", F.explode(F.array(size_class, size_class + 1)).alias("class")).distinct().select("cid", node.alias("_n"))
-    place = shown.join(rough, F.col("_n") == F.col("node")).select(F.col("root").alias("comp"), F.col("cid").alias("_cid"))
-    place = split(place, "comp", F.col("_cid"), GROUP).select("comp", "part", "_cid")
+    shown = sets.select("cid", F.size("grams").alias("_w"), F.explode(F.array(size_class, size_class + 1)).alias("class")).groupBy("cid", "class").agg(F.max("_w").alias("_w")).select("cid", "_w", node.alias("_n"))
+    place = shown.join(rough, F.col("_n") == F.col("node")).select(F.col("root").alias("comp"), F.col("cid").alias("_cid"), "_w")
+    place = split(place, "comp", F.col("_cid"), GROUP, F.col("_w"), GROUP_GRAMS).select("comp", "part", "_cid")
     close = sets.dropDuplicates(["cid"]).join(place, F.col("cid") == F.col("_cid")).select("comp", "part", "cid", "size", "grams")
-    found = close.repartition(parts, "comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
-    roots = components(shared.put(found))
-    rows = met.where(F.col("kind") == _DOC).select("doc_id", "cid", "size")
-    rows = shared.put(rows.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("root", "cid")).alias("class")))
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    classes = shared.put(classes.withColumnRenamed("class", "_class"))
-    # classes with over a HOT-th of all rows, fewer than HOT, come to their rows; only the rows of others are dealt by class
+    found = close.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
+    roots = components(found)
+    rows = own_rows.join(roots, F.col("cid") == F.col("node"), "left")
+    return shared.put(rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cid")).alias("class")))
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their class, null for those without; ``classes`` are _class, n (rows) and others.
+
+    Classes with over a HOT-th of all rows, fewer than HOT, come to their rows; only the rows of others are dealt by class.
+    """
+    classes = SharedTables(rows.sparkSession).put(classes)
     hot = F.col("n") * HOT > rows.count()
-    large, small = F.broadcast(classes.where(hot).drop("n")), classes.where(~hot).drop("n")
+    large, small = F.broadcast(classes.where(hot)), classes.where(~hot)
     on = F.col("class") == F.col("_class")
     there = rows.join(large, on, "left").where("_class is not null or class is null")
     dealt = rows.where("class is not null").join(large, on, "left_anti").join(small, on, "left")
-    return there.unionByName(dealt).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return there.unionByName(dealt)
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, bucket_bytes: int = BUCKET) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    With larger blocks and buckets a row that moves holds more shingles: as many
+    as a block has, over the number of buckets. Texts of many TB want some 128
+    MB a block and 1 GB a bucket, and workers with ten times that.
+    """
+    rows = _classed(docs, id_col, text_col, block_bytes, bucket_bytes)
+    classes = rows.where("class is not null").groupBy(F.col("class").alias("_class")).agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _with_classes(rows, classes).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that with the smallest id, nulls last.
+
+    Rows are told apart by id and text, so that two texts that share an id are
+    two documents; of rows that repeat both, one stays. Rows without words stay.
+    """
+    shared = SharedTables(docs.sparkSession)
+    rows = _classed(docs, id_col, text_col, BLOCK, BUCKET).where("class is not null")
+    named = shared.put(rows.groupBy("doc_id", "text_hash", "class").agg(F.count(F.lit(1)).alias("_times")))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    classes = named.groupBy(F.col("class").alias("_class")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = _with_classes(named, classes).withColumn("_kept", F.coalesce(order == F.col("_first"), F.lit(True)))
+    # all others of a class go; so does a first one that repeats, of which one row comes back
+    gone = shared.put(held.where("not _kept or _times > 1").select(F.col("doc_id").alias("_tidelog_id"), F.col("text_hash").alias("_tidelog_hash"), "_kept"))
+    hashed = F.xxhash64(F.col(text_col))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("_tidelog_id")) & (hashed == F.col("_tidelog_hash"))
+    alone = docs.join(gone, here, "left_anti")
+    first = docs.join(gone.where("_kept"), here, "left_semi").withColumn("_tidelog_hash", hashed).dropDuplicates([id_col, "_tidelog_hash"]).drop("_tidelog_hash")
+    return alone.unionByName(first)

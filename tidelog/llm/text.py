@@ -5,7 +5,9 @@ known by 64-bit hashes; texts are taken in slices of bounded size, so memory
 follows the slice or the longest text, not the batch.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _trimmer() -> Callable:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) or (lambda _: 0)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
+def lean(run):
+    """``run`` over batches, after which the worker, which serves other tasks too, holds no more than it needs."""
+
+    @wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return leaner
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.StringArray:
     """As one string array with nulls made empty."""
     if isinstance(column, pa.ChunkedArray):
