@@ -2,12 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents. Rows without an id are judged by their text alone and
-stay in the join stage; rows that repeat an id are one document there.
+columns of documents. Rows without an id are judged by their text alone and come
+last in their group in the join stage, where of rows that repeat id and text one
+stays and rows that share an id alone are documents of their own.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import langid, mixing, ngramjoin, packing, rules
 from tidelog.sources.shared import SharedTables
@@ -25,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays."""
-    gone = ngramjoin.grouped(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return ngramjoin.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
