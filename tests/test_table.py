@@ -132,8 +132,8 @@ def test_slices_and_tokens(spark):
 def test_whole_texts_are_escaped(spark, tmp_path):
     texts = ["x" * 40 + "é\n\x7f~ end", "".join(map(chr, range(1, 300))) * 20, "\0" * 41, ""]
     spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.item_id: r.shown for r in QUERIES["q19c_slice_escape_whole"](spark, str(tmp_path)).collect()}
-    assert got == {101 * i: "".join(chr(b) if 32 <= b <= 126 else f"[{b}]" for b in t.encode()) for i, t in enumerate(texts) if t}
+    got = {r.item_id: r.shown for r in QUERIES["q19b_slice_escape"](spark, str(tmp_path)).collect()}
+    assert got == {101 * i: "".join(chr(b) if 32 <= b <= 126 else f"[{b}]" for b in t.encode()) for i, t in enumerate(texts)}
 
 
 def test_shard_hash_of_high_bytes(spark):
@@ -144,8 +144,8 @@ def test_shard_hash_of_high_bytes(spark):
         return h
 
     for text in (b"", b"abc", "é".encode(), b"\xff" * 40):
-        got = spark.createDataFrame([(bytearray(text),)], "k binary").select(shards.shard_hash(F.col("k")).alias("h")).first().h
-        assert int(got) == model(text)
+        got = spark.createDataFrame([(bytearray(text),)], "k binary").select(shards.shard_hash(F.col("k")).alias("h"), shards.shard_of(F.col("k"), 7).alias("s")).first()
+        assert int(got.h) == model(text) and got.s == model(text) % 7
 
 
 def test_file_names(spark):
@@ -274,3 +274,116 @@ def test_levels_merge_and_keep_tombstones(spark, tmp_path):
     assert content(Table.open(spark, f"{tmp_path}/t", version=old)) == [(b"b", b"1"), (b"c", b"2")]
     with pytest.raises(ValueError):
         t.merge_level(1)
+
+
+def test_lower_bounds_of_null_and_repeated_probes(spark):
+    keys_ = spark.createDataFrame([(k,) for k in (3, 10, 10, None)], "k long")
+    probes = spark.createDataFrame([(1, None, "a"), (2, 3, "b"), (3, 4, "c"), (4, 11, "d"), (5, 4, "e"), (6, -9, "f")], "i long, t long, k string")
+    out = access.lower_bounds(keys_.withColumnRenamed("k", "key"), probes, "key", "t")
+    assert out.columns == ["i", "t", "k", "lower_bound"]
+    assert {r.i: (r.k, r.lower_bound) for r in out.collect()} == {1: ("a", None), 2: ("b", 3), 3: ("c", 10), 4: ("d", None), 5: ("e", 10), 6: ("f", 3)}
+    assert access.neighbours(keys_.dropDuplicates(), "k").count() == 2
+
+
+def test_vacuum_spares_a_batch_that_is_being_written(spark, tmp_path, monkeypatch):
+    a = Table.open(spark, f"{tmp_path}/t")
+    a.add(kv(spark, [(b"a", b"1")]), "n")
+    b = Table.open(spark, f"{tmp_path}/t")
+    commit = Manifest.commit
+
+    def late(manifest):
+        monkeypatch.setattr(Manifest, "commit", commit)
+        assert Table.open(spark, f"{tmp_path}/t").vacuum() == 0  # between the batch and its manifest
+        return commit(manifest)
+
+    monkeypatch.setattr(Manifest, "commit", late)
+    b.add(kv(spark, [(b"b", b"2")]), "n")
+    assert content(b) == [(b"a", b"1"), (b"b", b"2")]
+    with pytest.raises(CommitConflict):
+        a.delete(keys(spark, [b"a"]))
+    old = b.version
+    b.compact()
+    assert a.vacuum() == 2  # by a handle that is behind
+    assert content(b) == content(Table.open(spark, f"{tmp_path}/t")) == [(b"a", b"1"), (b"b", b"2")]
+    with pytest.raises(ValueError):
+        Table.open(spark, f"{tmp_path}/t", version=old)
+    assert b.vacuum(older_than_hours=0) == 1  # the batch of the writer that lost
+
+
+def test_records_by_token(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t", num_shards=3, file_rows=2)
+    assert t.records().count() == 0 and t.record_at(0) is None
+    assert t.retire_store() == 0
+    t.add(kv(spark, [(b"%02d" % i, b"v%d" % i) for i in range(9)]), "n")
+    t.delete(keys(spark, [b"04"]))
+    assert t.retire_store() == 2
+    for r in t.records().collect():
+        assert t.record_at(r.token) == (bytes(r.key), None if r.is_del else bytes(r.value))
+    assert t.record_at(4) == (b"04", b"v4") and t.record_at(1 << 32) == (b"04", None) and t.record_at(9) is None and t.record_at(5 << 32) is None
+    probes = spark.createDataFrame([(0, "x"), (99, "y"), (None, "z")], "token long, tag string")
+    assert {r.tag: (r.found, r.key and bytes(r.key)) for r in t.by_token(probes).collect()} == {"x": (True, b"00"), "y": (False, None), "z": (False, None)}
+    sizes = [r["count"] for r in t.log().groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 2 and sum(sizes) == 10
+    assert [(r.store_seq, r.store_level, r.compressed, r.listed) for r in t.stores().orderBy("store_seq").collect()] == [(0, 0, True, True), (1, 0, True, True)]
+
+
+def test_plain_stores_and_crashed_writes(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t", compressed=False)
+    t.add(kv(spark, [(b"a", b"1")]), "n")
+    bad = kv(spark, [(b"b", b"1"), (b"", b"2")])
+    with pytest.raises(Exception, match="one byte"):
+        t.add(bad, "n")
+    assert content(Table.open(spark, f"{tmp_path}/t")) == [(b"a", b"1")]
+    t.compact()
+    assert {r.store_level: r.compressed for r in t.stores().collect()} == {0: False, 1: True}
+
+
+def test_text_files_as_one_stream(spark, tmp_path):
+    rng = random.Random(6)
+    lines = ["".join(rng.choice(["x", "é", "\0", "\r", " "]) for _ in range(rng.choice([0, 3, 700]))) for _ in range(9 * 7 + 4)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("".join(x + "\n" for x in lines[:40]).encode())
+    (tmp_path / "t" / "b.txt").write_bytes("\n".join(lines[40:]).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "600"):  # whole files, and several splits of each
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.item: (bytes(r.key), bytes(r.value)) for r in files.line_items(files.numbered_lines(spark, f"{tmp_path}/t"), "line", "n").collect()}
+            want = {}
+            for i in range(7):
+                part = [x.encode() for x in lines[9 * i : 9 * i + 9]]
+                want[i] = ((part[0] + part[1])[:1000].replace(b"\0", b"\1") + b"%d\0" % i, b"".join(part[2:]))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert files.files_of(spark, f"{tmp_path}/t").agg(F.sum("n_bytes")).first()[0] == sum(len(x.encode()) + 1 for x in lines) - 1
+
+
+def test_bench_items(spark):
+    for r in files.bench_items(spark, 400).collect():
+        h, k, v = r.id, b"", b""
+        for _ in range(3):
+            h *= 3
+            k += h.to_bytes(8, "little")
+            h *= 3
+            v += h.to_bytes(8, "little")
+        assert (bytes(r.key), bytes(r.value)) == (k + b"%d\0" % h, v)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidelog.sources.shared import shared_folder
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077"))
+
+
+def test_manifest_values(spark, tmp_path):
+    m = Manifest(spark, f"{tmp_path}/m")
+    m.set("b", b"\x00\xff")
+    m.set("n", -5)
+    m.commit()
+    held = Manifest.newest(spark, f"{tmp_path}/m")
+    assert (held.get("b"), held.get("n"), held.get("x", 7)) == (b"\x00\xff", -5, 7) and Manifest.versions(spark, f"{tmp_path}/m") == [1]

@@ -42,17 +42,17 @@ def fingerprint(a: Column) -> Column:
 
 def bytes_of(a: Column) -> Column:
     """The bytes as an array of ints, empty for an empty string."""
-    hexed = F.hex(a.cast("binary"))
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), F.octet_length(a)), lambda i: i < F.octet_length(a)),
-        lambda i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+    return F.transform(_one_by_one(a), lambda c: F.ascii(c))
+
+
+def _one_by_one(a: Column) -> Column:
+    """The bytes as an array of one-character strings."""
+    return F.filter(F.split(F.decode(a.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
 
 
 def escape(a: Column) -> Column:
     """Printable ASCII as it is, any other byte as its decimal in brackets."""
-    chars = F.filter(F.split(F.decode(a.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")  # one per byte
-    shown = F.transform(chars, lambda c: F.when((c >= " ") & (c <= "~"), c).otherwise(F.concat(F.lit("["), F.ascii(c).cast("string"), F.lit("]"))))
+    shown = F.transform(_one_by_one(a), lambda c: F.when((c >= " ") & (c <= "~"), c).otherwise(F.concat(F.lit("["), F.ascii(c).cast("string"), F.lit("]"))))
     return F.array_join(shown, "")
 
 

@@ -61,42 +61,45 @@ def _filled(rows: DataFrame, key: Column, ties: list[Column], value: Column, nam
     ``names`` has each new column with whether it looks downward. Rows are
     range-partitioned once and filled within each partition; the partitions'
     edge values, one row each, are filled across partitions and joined back. No
-    task sees more than its own range, so this has no single-partition window.
+    task sees more than its own range, so this has no single-partition window
+    over rows. Looking upward is looking downward in reversed order: both frames
+    run, so a row costs the same however long its partition is.
     """
     from tidelog.sources.shared import checkpointed
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     put = checkpointed(rows.withColumn("_v", value).repartitionByRange(n, key, *ties).withColumn("_p", F.spark_partition_id()))
     edge = put.groupBy("_p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    inside, across = Window.partitionBy("_p").orderBy(*[c.asc() for c in (key, *ties)]), Window.orderBy("_p")
-    before, beyond = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    before = (Window.unboundedPreceding, -1)
     near, carry = [], []
     for name, downward in names.items():
-        if downward:
-            near.append(F.last("_v", ignorenulls=True).over(inside.rowsBetween(*before)).alias(f"_near_{name}"))
-            carry.append(F.last("_hi", ignorenulls=True).over(across.rowsBetween(*before)).alias(f"_carry_{name}"))
-        else:
-            near.append(F.first("_v", ignorenulls=True).over(inside.rowsBetween(*beyond)).alias(f"_near_{name}"))
-            carry.append(F.first("_lo", ignorenulls=True).over(across.rowsBetween(*beyond)).alias(f"_carry_{name}"))
+        inside = Window.partitionBy("_p").orderBy(*[c.asc() if downward else c.desc() for c in (key, *ties)]).rowsBetween(*before)
+        across = Window.orderBy(F.col("_p") if downward else F.col("_p").desc()).rowsBetween(*before)
+        near.append(F.last("_v", ignorenulls=True).over(inside).alias(f"_near_{name}"))
+        carry.append(F.last("_hi" if downward else "_lo", ignorenulls=True).over(across).alias(f"_carry_{name}"))
     filled = put.select("*", *near).join(edge.select("_p", *carry), "_p")
     return filled.select(*rows.columns, *[F.coalesce(f"_near_{name}", f"_carry_{name}").alias(name) for name in names])
 
 
 def neighbours(table: DataFrame, key: str) -> DataFrame:
-    """Each key of a unique-key table with its predecessor and successor."""
-    return _filled(table.select(key), F.col(key), [], F.col(key), {"prev_key": True, "next_key": False})
+    """Each key of a unique-key table with its predecessor and successor; a null is no key and has no row."""
+    keys = table.select(key).where(F.col(key).isNotNull())
+    return _filled(keys, F.col(key), [], F.col(key), {"prev_key": True, "next_key": False})
 
 
 def lower_bounds(table: DataFrame, probes: DataFrame, key: str, target: str) -> DataFrame:
-    """For each probe the smallest key at or above it, null past the end; repeated probes stay.
+    """The probes with ``lower_bound``, the smallest key at or above ``target``: null past the end and for a null target.
 
-    Probes and keys are sorted together once, probes first on ties, instead of
-    being joined by an inequality.
+    Distinct targets and keys are sorted together once, targets first on ties,
+    instead of being joined by an inequality; a target that many probes share is
+    one row there, and the answers are joined back to all probes.
     """
-    marked = probes.select(F.col(target).alias("_k"), F.lit(0).alias("_t"), F.lit(None).cast(table.schema[key].dataType).alias("_key"))
-    both = marked.unionByName(table.select(F.col(key).alias("_k"), F.lit(1).alias("_t"), F.col(key).alias("_key")))
-    out = _filled(both, F.col("_k"), [F.col("_t")], F.col("_key"), {"lower_bound": False})
-    return out.where(F.col("_t") == 0).select(F.col("_k").alias(target), "lower_bound")
+    wanted = probes.select(F.col(target).alias("_k")).where("_k is not null").distinct()
+    marked = wanted.select("_k", F.lit(0).alias("_t"), F.lit(None).cast(table.schema[key].dataType).alias("_key"))
+    held = table.select(F.col(key).alias("_k"), F.lit(1).alias("_t"), F.col(key).alias("_key")).where("_k is not null")
+    out = _filled(marked.unionByName(held), F.col("_k"), [F.col("_t")], F.col("_key"), {"_bound": False})
+    bounds = out.where(F.col("_t") == 0).select("_k", "_bound")
+    return probes.join(bounds, probes[target] == bounds["_k"], "left").select(probes["*"], F.col("_bound").alias("lower_bound"))
 
 
 def payload_bytes(table: DataFrame, columns: list[str]) -> DataFrame:

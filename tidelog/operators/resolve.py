@@ -8,7 +8,7 @@ value or on ``is_del`` must stay above it, as it does here.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,26 +56,23 @@ def garbage(log: DataFrame, keys: Sequence[str], seq: str, is_del: str) -> DataF
 
 
 def sequenced(batch: DataFrame, order_by: Sequence[Column | str], base: int, carried: Sequence[str] | None = None) -> DataFrame:
-    """Numbers a batch from ``base`` in the caller's total order, without a single-task window.
+    """Numbers a batch from ``base`` in the caller's total order, without a single-task window over rows.
 
-    Range partitions are sorted on their own; only one count per partition goes
-    to the driver, which turns it into each partition's first number. The sorted
-    batch is cut from its lineage in between, for its partitions to stay as counted.
-    ``carried`` names the columns to keep, all by default; a ``seq`` among them is replaced.
+    Range partitions are sorted on their own; a table of two numbers for each of
+    the session's shuffle partitions has what goes before it, and is broadcast.
+    The sorted batch is cut from its lineage in between, for its partitions to
+    stay as counted. ``carried`` names the columns to keep, all by default; a
+    ``seq`` among them is replaced.
     """
     from tidelog.sources.shared import checkpointed
 
     n = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = batch.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     names = [c for c in (batch.columns if carried is None else carried) if c != "seq"]
-    placed = checkpointed(ranged.select(F.struct(*names).alias("_row"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
-    row = [F.col("_row")[c].alias(c) for c in names]
-    counts = {r["_p"]: (r["n"], r["lo"]) for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("lo")).collect()}
-    shift, at = [], base
-    for p in sorted(counts):
-        n_rows, lo = counts[p]
-        shift += [F.lit(p), F.lit(at - lo)]
-        at += n_rows
-    if not shift:
-        return placed.select(*row, F.lit(base).cast("bigint").alias("seq"))
-    return placed.select(*row, (F.col("_i") + F.element_at(F.create_map(*shift), F.col("_p"))).alias("seq"))
+    # the low 33 bits of the id are the row's place in its partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = checkpointed(ranged.select(F.struct(*names).alias("_row"), F.spark_partition_id().alias("_p"), place.alias("_i")))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_p", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(base)).cast("bigint").alias("_start"))
+    return placed.join(F.broadcast(starts), "_p").select(*[F.col("_row")[c].alias(c) for c in names], (F.col("_i") + F.col("_start")).alias("seq"))

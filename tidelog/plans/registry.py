@@ -130,6 +130,14 @@ def q12(spark, d):
     return access.lower_bounds(_t(spark, d, "customer"), probes, "c_custkey", "target")
 
 
+@_query("q12b_lower_bound_of_all_probes", """select o_orderkey, t as target, case when t is not null then (select min(c_custkey) from customer where c_custkey >= t) end as lower_bound
+    from (select o_orderkey, case when o_orderpriority like '1%' then null when o_orderstatus = 'F' then 77 else o_custkey * 7 % 20011 end as t from orders)""")
+def q12b(spark, d):
+    target = F.when(F.col("o_orderpriority").startswith("1"), None).when(F.col("o_orderstatus") == "F", 77).otherwise(F.col("o_custkey") * 7 % 20011)
+    probes = _t(spark, d, "orders").select("o_orderkey", target.cast("bigint").alias("target"))
+    return access.lower_bounds(_t(spark, d, "customer"), probes, "c_custkey", "target")
+
+
 @_query("q13_full_scan_bytes", """select count(*) as n_rows, cast(sum(octet_length(encode(url)) + coalesce(octet_length(encode(html)), 0)) as bigint) as n_bytes from pages""")
 def q13(spark, d):
     return access.payload_bytes(_t(spark, d, "pages"), ["url", "html"])
@@ -144,6 +152,16 @@ def q14(spark, d):
     return shards.histogram(_t(spark, d, "customer"), F.col("c_name"), 8)
 
 
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::hugeint)"
+
+
+@_query("q14b_shard_non_ascii", f"""select conv_id * 100 + turn as item_id, h::varchar as shard_hash, (h % 8)::bigint as shard from (select conv_id, turn, list_reduce(list_prepend(0::hugeint, {_BYTES}),
+    lambda h, b: (h * 101 + case when b > 127 then b - 256 else b end + 18446744073709551616::hugeint) % 18446744073709551616::hugeint) as h from conversations where text is not null)""")
+def q14b(spark, d):
+    c = _t(spark, d, "conversations").where("text is not null")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), shards.shard_hash(F.col("text")).cast("string").alias("shard_hash"), shards.shard_of(F.col("text"), 8).alias("shard"))
+
+
 @_query("q15_shard_merge", "select o_orderkey, o_totalprice from orders order by o_orderkey")
 def q15(spark, d):
     orders = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
@@ -169,11 +187,12 @@ def q16b(spark, d):
     )
 
 
-@_query("q17_record_roundtrip", """select page_id, hex(encode(url)) as key_hex, octet_length(encode(html)) as value_bytes, false as is_del,
-    octet_length(encode(url)) + octet_length(encode(html)) + case when octet_length(encode(url)) < 128 then 1 else 2 end as record_bytes,
-    cast(octet_length(encode(url)) as bigint) as key_bytes, true as value_same, hex(encode(url)) as deleted_hex from pages""")
+@_query("q17_record_roundtrip", """select page_id, case when k then hex(encode(url)) end as key_hex, case when k then octet_length(encode(html)) end as value_bytes, case when k then false end as is_del,
+    case when k then octet_length(encode(url)) + octet_length(encode(html)) + case when octet_length(encode(url)) < 128 then 1 when octet_length(encode(url)) < 16384 then 2 else 3 end end as record_bytes,
+    case when k then cast(octet_length(encode(url)) as bigint) end as key_bytes, case when k then true end as value_same, case when k then hex(encode(url)) end as deleted_hex
+    from (select *, octet_length(encode(url)) > 0 and html is not null as k from pages)""")
 def q17(spark, d):
-    pages = _t(spark, d, "pages").where(F.octet_length("url") > 0)
+    pages = _t(spark, d, "pages")
     rec = codec.encode_put(F.col("url"), F.col("html"))
     return pages.withColumn("r", rec).withColumn("x", codec.encode_delete(F.col("url"))).select(
         "page_id", F.hex(codec.record_key(F.col("r"))).alias("key_hex"), F.octet_length(codec.record_value(F.col("r"))).cast("bigint").alias("value_bytes"),
@@ -224,21 +243,20 @@ def q19a(spark, d):
     )
 
 
-@_query("q19b_slice_escape", """select item_id, list_aggregate(list_transform(range(1, octet_length(encode(t)) + 1), lambda i:
-    case when ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::int between 32 and 126 then chr(('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::int)
-    else '[' || ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::int || ']' end), 'string_agg', '') as shown
-    from (select conv_id * 100 + turn as item_id, substr(text, 1, 40) as t from conversations where text <> '')""")
+@_query("q19b_slice_escape", """select conv_id * 100 + turn as item_id, coalesce(list_aggregate(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x:
+    case when ('0x' || x)::int between 32 and 126 then chr(('0x' || x)::int) else '[' || ('0x' || x)::int || ']' end), 'string_agg', ''), case when text = '' then '' end) as shown
+    from conversations""")
 def q19b(spark, d):
-    c = _t(spark, d, "conversations").where(F.col("text") != "")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), slices.escape(F.substring("text", 1, 40)).alias("shown"))
+    c = _t(spark, d, "conversations")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), slices.escape(F.col("text")).alias("shown"))
 
 
-@_query("q19c_slice_escape_whole", """select conv_id * 100 + turn as item_id, list_aggregate(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x:
-    case when ('0x' || x)::int between 32 and 126 then chr(('0x' || x)::int) else '[' || ('0x' || x)::int || ']' end), 'string_agg', '') as shown
-    from conversations where text <> ''""")
-def q19c(spark, d):
-    c = _t(spark, d, "conversations").where(F.col("text") != "")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), slices.escape(F.col("text")).alias("shown"))
+@_query("q19d_slice_text_and_hash", """select item_id, text, n_same from (select conv_id * 100 + turn as item_id, text, count(*) over (partition by text) as n_same from conversations)""")
+def q19d(spark, d):
+    c = _t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), F.col("text").cast("binary").alias("b"))
+    c = c.withColumn("h", slices.fingerprint(F.col("b")))
+    same = c.groupBy("h").agg(F.count(F.lit(1)).alias("n_same"))
+    return c.join(same, c["h"].eqNullSafe(same["h"])).select("item_id", slices.to_text(F.col("b")).alias("text"), "n_same")
 
 
 @_query("q20_nul_collision_check", """select regexp_replace(k, '(00)+$', '') as trimmed, count(*) as n_keys
@@ -304,3 +322,33 @@ def q27(spark, d):
     version = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("version")
     newest = resolve.latest(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", version), ["l_orderkey", "l_linenumber"], "version", [])
     return newest.select("l_orderkey", "l_linenumber", F.col("version.l_shipdate").alias("l_shipdate"), F.col("version.l_partkey").alias("l_partkey"))
+
+
+# text and generated items
+
+
+@_query("q25b_text_ingest", """select item, array_to_string(list_transform(regexp_extract_all(substr(head, 1, 2000), '..'), lambda x: case when x = '00' then '01' else x end), '') || hex(encode(item::varchar)) || '00' as key_hex, value_md5
+    from (select n // 9 as item, hex(encode(string_agg(b, '' order by n) filter (n % 9 < 2))) as head, md5(string_agg(b, '' order by n) filter (n % 9 >= 2)) as value_md5 from (
+    select b, row_number() over (order by doc_id, i) - 1 as n from (select doc_id, unnest(string_split(text, chr(10))) as b, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null))
+    group by 1 having count(*) = 9)""")
+def q25b(spark, d):
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    items = files.line_items(resolve.sequenced(lines, ["doc_id", "i"], 0, ["line"]), "line", "seq")
+    return items.select("item", F.hex("key").alias("key_hex"), F.md5("value").alias("value_md5"))
+
+
+def _word_sql(k: int) -> str:
+    return " || ".join(f"substr(format('{{:016X}}', id * {3**k}), {i}, 2)" for i in range(15, 0, -2))
+
+
+@_query("q25c_generated_items", f"""select id, {_word_sql(1)} || {_word_sql(3)} || {_word_sql(5)} || hex(encode((id * 729)::varchar)) || '00' as key_hex,
+    {_word_sql(2)} || {_word_sql(4)} || {_word_sql(6)} as value_hex from (select range as id from range((select count(*) from lineitem)))""")
+def q25c(spark, d):
+    items = files.bench_items(spark, _t(spark, d, "lineitem").count())
+    return items.select("id", F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"))
+
+
+from tidelog.plans import tables  # noqa: E402
+
+QUERIES |= tables.QUERIES
+ORACLE_SQL |= tables.ORACLE_SQL

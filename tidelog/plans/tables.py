@@ -108,8 +108,8 @@ def q30b(spark, d):
     return t.stores().select("store_seq", "store_level", "compressed", "listed")
 
 
-@_query("q31_record_by_token", f"""with {_LOG}, r as (select batch - 1 as store, k, v, del, row_number() over (partition by batch order by k, n) - 1 as at from l4)
-    select (store::bigint << 32) | at as token, true as found, hex(encode(k)) as key_hex, v as value, del as is_del from r""")
+@_query("q31_record_by_token", f"""with {_LOG}, r as (select batch - 1 as store, k, v, del, row_number() over (partition by batch order by k, n) - 1 as place from l4)
+    select (store::bigint << 32) | place as token, true as found, hex(encode(k)) as key_hex, v as value, del as is_del from r""")
 def q31(spark, d):
     t = _written(spark, d, file_rows=1000)
     found = t.by_token(t.records().select("token"))

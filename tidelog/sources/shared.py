@@ -2,27 +2,40 @@
 
 import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_checkpointing: list = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, as in local tests, a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, and driver and executors are one process, a folder of our own."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir().rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and reread from the shared folder; its lineage is cut."""
+    """``df`` computed once and reread from the shared folder; its lineage is cut. The files go when this process ends."""
     folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    if context not in _checkpointing:
+        _checkpointing.append(context)
+        atexit.register(remove, df.sparkSession, context.getCheckpointDir())  # a folder of this context's own below the one that was set
     return df.checkpoint(eager=True)
 
 
@@ -33,9 +46,13 @@ class SharedTables:
         self.spark, self.paths = spark, []
         atexit.register(self.drop)
 
+    def folder(self) -> str:
+        """A path of its own, for whatever is written there."""
+        self.paths.append(f"{shared_folder(self.spark)}/tidelog-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def put(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/tidelog-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.folder()
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,21 +1,28 @@
 """A key-value table over an append-only Parquet log.
 
-Each write lands in a batch folder and becomes visible when the manifest that
-lists the folder is committed, so a crashed write leaves the table as it was:
-there is nothing to repair. A handle reads the version it was opened at.
+Each write lands in a store of its own, a folder named by its number and level
+below a batch folder that no other writer uses, and becomes visible when the
+manifest that lists it is committed: a crashed write leaves the table as it was,
+and there is nothing to repair. A handle reads the version it was opened at.
 """
 
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions import codec
 from tidelog.operators import access, resolve
 from tidelog.schema import CURRENT, OPLOG
+from tidelog.sources import files
 from tidelog.sources.cursor import Cursor
 from tidelog.sources.manifest import Manifest
 from tidelog.sources.shared import remove
 
+#: Rows from which a store goes on in a further file.
+FILE_ROWS = 1 << 24
+
 
 class Table:
     """Open with :meth:`open`. Writes return the new version and move this handle to it."""
@@ -24,16 +31,23 @@ class Table:
         self.spark, self.path, self.manifest = spark, path, manifest
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, num_shards: int | None = None, version: int | None = None) -> "Table":
-        """Opens the newest or the given version, or creates the table. The shard count is frozen at creation."""
+    def open(cls, spark: SparkSession, path: str, num_shards: int | None = None, version: int | None = None, file_rows: int = FILE_ROWS, compressed: bool = True) -> "Table":
+        """Opens the newest or the given version, or creates the table.
+
+        Frozen at creation: the shard count, the rows a file holds at most, and
+        whether stores of level 0 are compressed; those of compaction always are.
+        """
         path = path.rstrip("/")
         if num_shards is not None and num_shards < 1:
             raise ValueError("a table has at least one shard")
+        if file_rows < 1:
+            raise ValueError("a file holds at least one row")
         manifest = Manifest.newest(spark, f"{path}/_manifest", version)
         if manifest is None:
             if version is not None:
                 raise ValueError(f"{path} has no version {version}")
-            manifest = Manifest(spark, f"{path}/_manifest", values={"num_shards": num_shards or spark.sparkContext.defaultParallelism, "seq": 0, "batches": []}).commit()
+            values = {"num_shards": num_shards or spark.sparkContext.defaultParallelism, "file_rows": file_rows, "compressed": int(compressed), "seq": 0, "stores": 0, "batches": []}
+            manifest = Manifest(spark, f"{path}/_manifest", values=values).commit()
         return cls(spark, path, manifest)
 
     @property
@@ -61,18 +75,21 @@ class Table:
     # writes
 
     def _append(self, rows: DataFrame, next_seq: int | None, level: int = 0, replacing: list[dict] | None = None) -> int:
-        name = f"batch-{uuid.uuid4().hex}"
+        number, packed = self.manifest.get("stores", 0), level > 0 or bool(self.manifest.get("compressed", 1))
+        name = f"batch-{uuid.uuid4().hex}/store_{number}_{level}.{'cprs' if packed else 'plain'}"
         # Ranges over (key, seq) keep files in key order, so that a key predicate skips row groups, and split a hot key over tasks.
         n = max(self.num_shards, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         put = rows.select([F.col(f.name).cast(f.dataType) for f in OPLOG]).repartitionByRange(n, "key", "seq").sortWithinPartitions("key", "seq")
-        put.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        seq = next_seq
-        if seq is None:
-            top = self.spark.read.schema(OPLOG).parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0]
-            seq = max(self.manifest.get("seq"), 0 if top is None else top + 1)
+        seen = Observation()  # counted by the writing tasks themselves
+        size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+        put = put.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("bytes"), F.max("seq").alias("top"))
+        writer = put.write.option("compression", "zstd" if packed else "none").option("maxRecordsPerFile", self.manifest.get("file_rows", FILE_ROWS))
+        writer.parquet(f"{self.path}/{name}")
+        top = seen.get["top"]
+        seq = max(self.manifest.get("seq"), 0 if top is None else top + 1) if next_seq is None else next_seq
         values = dict(self.manifest.values)
-        values["batches"] = [b for b in values["batches"] if b not in (replacing or [])] + [{"dir": name, "level": level}]
-        values["seq"] = seq
+        values["batches"] = [b for b in values["batches"] if b not in (replacing or [])] + [{"dir": name, "level": level, "number": number, "rows": seen.get["rows"], "bytes": seen.get["bytes"]}]
+        values["seq"], values["stores"] = seq, number + 1
         self.manifest = Manifest(self.spark, self.manifest.folder, self.manifest.version, values).commit()
         return self.version
 
@@ -140,16 +157,38 @@ class Table:
             newest = newest.where(~F.col("is_del"))
         self._append(newest, self.manifest.get("seq"), level, replacing=batches)
 
-    def vacuum(self) -> int:
-        """Removes batch folders that this version does not list. Older versions cannot be opened afterwards."""
+    def vacuum(self, older_than_hours: float = 24.0) -> int:
+        """Removes batch folders that the newest version does not list, and the versions that did.
+
+        A folder that some version listed has been committed and replaced, and
+        goes at once. One that no version lists may be a batch whose writer is
+        about to commit; it goes when it was last changed ``older_than_hours``
+        ago, which is to exceed the longest write.
+        """
+        folder = self.manifest.folder
+        newest = Manifest.newest(self.spark, folder)
+        known = Manifest.versions(self.spark, folder)
+        held = lambda m: {b["dir"].split("/")[0] for b in m.get("batches")}
+        listed = held(newest)
+        committed = set().union(*(held(m) for m in (Manifest.newest(self.spark, folder, v) for v in known) if m))
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        listed = {b["dir"] for b in self.manifest.get("batches")}
-        names = [s.getPath().getName() for s in jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(jpath)]
-        stale = [n for n in names if n.startswith("batch-") and n not in listed]
-        for n in stale:
-            remove(self.spark, f"{self.path}/{n}")
+        before = 1000 * (time.time() - 3600 * older_than_hours)
+        stale = []
+        for s in jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(jpath):
+            name = s.getPath().getName()
+            if name.startswith("batch-") and name not in listed and (name in committed or s.getModificationTime() < before):
+                stale.append(name)
+        for v in known:
+            if v != newest.version and held(Manifest.newest(self.spark, folder, v)) - listed:
+                Manifest.forget(self.spark, folder, v)
+        for name in stale:
+            remove(self.spark, f"{self.path}/{name}")
         return len(stale)
 
+    def retire_store(self) -> int:
+        """The number of the store that the next write starts: none goes on with an older one."""
+        return self.manifest.get("stores", 0)
+
     def sync(self) -> None:
         """A write is durable once it returns; there is nothing left to flush."""
 
@@ -193,6 +232,45 @@ class Table:
     def prev(self, key: bytes, n: int = 1) -> DataFrame:
         return access.before(self.current(), "key", bytearray(key), n)
 
+    def stores(self) -> DataFrame:
+        """The stores on disk by what their names say, with files, bytes and whether this version lists them."""
+        found = files.files_of(self.spark, self.path).select(F.regexp_extract("file_name", r"^(.*)/[^/]*$", 1).alias("_dir"), "n_bytes")
+        # one row per store
+        sizes = found.groupBy("_dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+        listed = F.concat_ws("/", F.element_at(F.split("file_name", "/"), -2), F.element_at(F.split("file_name", "/"), -1)).isin([b["dir"] for b in self.manifest.get("batches")])
+        return files.store_registry(sizes, "_dir", ["n_files", "n_bytes"]).withColumn("listed", listed)
+
+    def _records(self, batches: list[dict]) -> DataFrame:
+        """token, key, value, seq and is_del of stored records; a token is the store's number and the record's place in it.
+
+        A store's files follow each other by name; what lies before each is one row per file.
+        """
+        if not batches:
+            return self._read([]).select(F.lit(None).cast("bigint").alias("token"), *OPLOG.names)
+        numbers = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        rows = self._read(batches).select(codec.store_seq(numbers).alias("_store"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"), *OPLOG.names)
+        before = Window.partitionBy("_store").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy("_store", "_file").agg(F.count(F.lit(1)).alias("_n"))
+        starts = counts.select(F.col("_store").alias("_s"), F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        placed = rows.join(starts, (F.col("_store") == F.col("_s")) & (F.col("_file") == F.col("_f")))
+        return placed.select(codec.token(F.col("_store"), F.col("_start") + F.col("_row")).alias("token"), *OPLOG.names)
+
+    def records(self) -> DataFrame:
+        """Every stored record of this version with its token."""
+        return self._records(self.manifest.get("batches"))
+
+    def by_token(self, probes: DataFrame, column: str = "token") -> DataFrame:
+        """The probes with key, value, seq, is_del and ``found``: the records at their tokens."""
+        held = self.records().withColumnRenamed("token", "_token").withColumn("_hit", F.lit(True))
+        out = probes.join(held, F.col(column) == F.col("_token"), "left")
+        return out.select(probes["*"], F.coalesce("_hit", F.lit(False)).alias("found"), *OPLOG.names)
+
+    def record_at(self, token: int) -> tuple[bytes, bytes | None] | None:
+        """Key and value (None in a tombstone) of the record at ``token``; None if there is none. Reads its store alone."""
+        here = [b for b in self.manifest.get("batches") if b["number"] == token >> 32]
+        found = self._records(here).where(F.col("token") == token).take(1) if here else []
+        return (bytes(found[0]["key"]), None if found[0]["is_del"] else bytes(found[0]["value"])) if found else None
+
     def stats(self) -> DataFrame:
         """Versions, live keys and garbage over the whole table."""
         per_key = resolve.garbage(self.log(), ["key"], "seq", "is_del")
