@@ -10,10 +10,17 @@ The network is trained here, from a fixed seed, on pages that ``sample_page``
 composes from rules: articles among menus, headers, footers, sidebars, notices,
 adverts, forms and comments, under varying markup. No supplied page is used.
 
-Defined cases: a null or empty page has an empty text; markup that is not
-closed is closed by what follows; comments, scripts, styles and templates hold
-no blocks; character references are decoded in text, once; repeated pages are
-read each; pages of any length are read whole; other columns are ignored.
+A page is split in one pass, whose time follows its length whatever its markup:
+open elements are found by name, a block shares the path of its element, and a
+tag is read without going back. A page of very many blocks is read by the network
+in chunks, forth and back, with the state carried on between them.
+
+Defined cases: a null or empty page has an empty text; markup that is not closed
+is closed by what follows, a tag that the page ends in is no text, and a quote
+that is not closed does not count; comments, scripts, styles, templates and
+frames hold no blocks, other elements do; character references are decoded in
+text, once; repeated pages are read each; pages of any length are read whole;
+other columns are ignored.
 """
 
 import html
@@ -28,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.text import Words, buffers, strings
+from tidelog.llm.text import Words, buffers, lean, slices, strings
 
 #: Fixed values of HTML: elements that break the flow of text, that never hold any, whose contents are not text, and that end an open paragraph.
 BLOCK = frozenset(
@@ -36,113 +43,171 @@ BLOCK = frozenset(
     " legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noframes iframe svg math object canvas".split())
+RAW = frozenset("script style template noframes noembed iframe".split())
 ENDS_P = BLOCK - frozenset("button body caption head html legend optgroup option select tbody td textarea tfoot th thead title tr".split())
 #: An opening tag also ends an open element of these kinds, up to the element that holds them.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag; the quantifiers do not give back, so that a tag is read once. Quotes count after an equals sign only.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]+))""", re.I)
+_SHUT = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
 PATH_DIM, WORD_DIM, HIDDEN = 64, 16, 12
 DIM = PATH_DIM + WORD_DIM + 6
-#: Blocks that are labelled together, padding included.
-CELLS = 1 << 14
+#: Blocks that are labelled together, padding included, and of one long page in a chunk.
+CELLS, CHUNK = 1 << 14, 1 << 12
+
+
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_AFTER_LT = _LETTERS | frozenset("/!?")
+
+
+class Step:
+    """An open element on the path of those that follow."""
+
+    __slots__ = ("_counts", "depth", "name", "tag", "up")
+
+    def __init__(self, up: "Step | None", tag: str, name: str):
+        self.up, self.tag, self.name, self._counts = up, tag, name, None
+        self.depth = up.depth + 1 if up else 0
+
+    def counts(self) -> np.ndarray:
+        """Per hashed tag or name how often the path has it, 2 at most."""
+        new, step = [], self
+        while step is not None and step._counts is None:
+            new.append(step)
+            step = step.up
+        counts = step._counts if step is not None else np.zeros(PATH_DIM, np.uint8)
+        for step in reversed(new):
+            counts = np.minimum(counts + _marks(step.name)[0], 2).astype(np.uint8)
+            step._counts = counts
+        return counts
+
+    def vector(self) -> np.ndarray:
+        return np.minimum(self.counts() + _marks(self.name)[1], 2)
+
+
+@lru_cache(20_000)
+def _marks(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """What an element adds to a path: by itself, and where it is the last."""
+    own, last = np.zeros(PATH_DIM, np.uint8), np.zeros(PATH_DIM, np.uint8)
+    tag, *names = re.split(r"[^a-z0-9]+", name.lower())
+    for x in (tag, *(f"named {n}" for n in names)):
+        at = zlib.crc32(x.encode()) % PATH_DIM
+        own[at] = min(own[at] + 1, 2)
+    last[zlib.crc32(f"last {tag}".encode()) % PATH_DIM] = 1
+    return own, last
 
 
 @dataclass(slots=True)
 class Block:
-    path: str  # tags with their names, outermost first
+    path: Step | None
     text: str
     linked: int  # characters within links
 
 
+_ZEROS, _HUGE = re.compile(r"&#0++(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def _plain(text: str) -> str:
+    """With character references decoded, each run of white space one space, trimmed."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))  # beyond any code point, and too long for a number
+    return " ".join(html.unescape(text).split())
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # (tag, tag and names)
+    stack: list[Step] = []
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
     parts: list[str] = []
-    linked = 0
-    in_link = 0
-    at = 0
+    linked = in_link = at = 0
+    never_shut: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = _plain("".join(parts)) if parts else ""
         parts.clear()
         if text:
-            out.append(Block("/".join(x[1] for x in stack), text, min(linked, len(text))))
+            out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
         linked = 0
 
     def close(i: int) -> None:
         nonlocal in_link
         flush()
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop().tag].pop()
         in_link = 0
 
+    last = lambda tags: max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
     end = len(page)
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            parts.append(text)
+        lt = page.find("<", at)
+        stop = end if lt < 0 else lt
+        following = page[lt + 1 : lt + 2] if lt >= 0 else ""
+        is_tag = following in _AFTER_LT
+        if lt >= 0 and not is_tag:
+            stop = lt + 1  # a sign, not markup
+        if stop > at:
+            parts.append(page[at:stop])
             if in_link:
-                linked += len(text)
+                linked += stop - at
+        at = stop
+        if not is_tag:
+            continue
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 2)
+            at = end if at < 0 else at + 3
+            continue
+        if following in "!?" or following == "/" and page[lt + 2 : lt + 3] not in _LETTERS:
+            at = page.find(">", lt)
+            at = end if at < 0 else at + 1
+            continue
+        m = _TAG.match(page, lt)
         if not m:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
+        at, closing, tag = m.end(), m[1], m[2].lower()
         if tag in RAW:
-            if not m[1] and not (m[3] or "").endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = shut.end() if shut else end
+            if not closing and not m[3].endswith("/") and tag not in never_shut:
+                shut = _SHUT[tag].search(page, at)
+                if shut:
+                    at = page.find(">", shut.end() - 1)
+                    at = end if at < 0 else at + 1
+                elif tag in ("script", "style"):
+                    break
+                else:
+                    never_shut.add(tag)
             continue
         if tag not in BLOCK:
             if tag == "a":
-                in_link = 0 if m[1] else 1
-            elif tag in ("br", "img", "wbr"):
-                parts.append(" " if tag != "wbr" else "")
+                in_link = 0 if closing else 1
+            elif tag in ("br", "img"):
+                parts.append(" ")
             continue
-        if m[1]:
-            opened = [x[0] for x in stack]
-            if tag in opened:
-                close(len(opened) - 1 - opened[::-1].index(tag))
+        if closing:
+            if opened.get(tag):
+                close(opened[tag][-1])
             else:
                 flush()
             continue
         flush()
-        opened = [x[0] for x in stack]
-        if tag in ENDS_P and "p" in opened:
-            close(len(opened) - 1 - opened[::-1].index("p"))
+        if tag in ENDS_P and opened.get("p"):
+            close(opened["p"][-1])
         elif tag in SIBLINGS:
             kinds, holders = SIBLINGS[tag]
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i] in holders:
-                    break
-                if opened[i] in kinds:
-                    close(i)
-                    break
+            if (i := last(kinds)) > last(holders):
+                close(i)
         in_link = 0
         if tag not in VOID:
-            names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] and "=" in m[3] else ""
-            stack.append((tag, f"{tag} {names}" if names else tag))
+            names = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[3])) if "=" in m[3] else ""
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append(Step(stack[-1] if stack else None, tag, f"{tag} {names}" if names else tag))
     flush()
     return out
 
 
-@lru_cache(20_000)
-def _path_vector(path: str) -> np.ndarray:
-    out = np.zeros(PATH_DIM, np.float32)
-    steps = path.split("/")
-    for i, step in enumerate(steps):
-        tag, *names = re.split(r"[^a-z0-9]+", step.lower())
-        out[zlib.crc32(tag.encode()) % PATH_DIM] += 1
-        if i == len(steps) - 1:
-            out[zlib.crc32(f"last {tag}".encode()) % PATH_DIM] += 1
-        for name in names:
-            out[zlib.crc32(f"named {name}".encode()) % PATH_DIM] += 1
-    return np.minimum(out, 2)
+_NO_PATH = np.minimum(_marks("")[0] + _marks("")[1], 2)
 
 
 def vectors(found: list[Block]) -> np.ndarray:
@@ -154,11 +219,11 @@ def vectors(found: list[Block]) -> np.ndarray:
     words = Words(data, at)
     cell = words.doc * WORD_DIM + (words.hashes(lower=True) >> np.uint64(40)).astype(np.int64) % WORD_DIM
     bag = np.bincount(cell, minlength=len(found) * WORD_DIM).reshape(len(found), WORD_DIM)
-    out[:, :PATH_DIM] = [_path_vector(b.path) for b in found]
+    out[:, :PATH_DIM] = [b.path.vector() if b.path else _NO_PATH for b in found]
     out[:, PATH_DIM : PATH_DIM + WORD_DIM] = bag / np.maximum(words.count, 1)[:, None]
     size = np.array([len(b.text) for b in found], np.float32)
     stops = np.bincount(np.searchsorted(at, np.flatnonzero(np.isin(data, [0x2E, 0x2C, 0x21, 0x3F])), "right") - 1, minlength=len(found))[: len(found)]
-    extra = np.stack([np.log1p(words.count) / 5, np.log1p(size) / 8, np.array([b.linked for b in found]) / size, np.minimum(stops / np.maximum(words.count, 1), 1), words.count >= 8, np.array([b.path.count("/") for b in found]) / 10], axis=1)
+    extra = np.stack([np.log1p(words.count) / 5, np.log1p(size) / 8, np.array([b.linked for b in found]) / size, np.minimum(stops / np.maximum(words.count, 1), 1), words.count >= 8, np.array([b.path.depth if b.path else 0 for b in found]) / 10], axis=1)
     out[:, PATH_DIM + WORD_DIM :] = extra
     return out
 
@@ -185,10 +250,11 @@ class BiLstm:
         source = np.where(t < length, length - 1 - t, t)
         return np.take_along_axis(x, source.reshape(source.shape + (1,) * (x.ndim - 2)), axis=0)
 
-    def _read(self, x: np.ndarray, wx, wh, b, kept: list | None) -> np.ndarray:
+    def _read(self, x: np.ndarray, wx, wh, b, kept: list | None, state: list | None = None) -> np.ndarray:
+        """Outputs of all steps; ``state`` is what reading starts from, and is replaced by what it ends with."""
         steps, n, _ = x.shape
         ahead = x @ wx + b
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.empty((steps, n, HIDDEN), np.float32)
         for t in range(steps):
             z = ahead[t] + h @ wh
@@ -200,6 +266,20 @@ class BiLstm:
             if kept is not None:
                 kept.append((i, f, o, g, th, *before))
             out[t] = h
+        if state is not None:
+            state[:] = h, c
+        return out
+
+    def long_logits(self, found: list[Block]) -> np.ndarray:
+        """Logits of one page of any number of blocks, whose vectors are made chunk by chunk."""
+        out = np.full(len(found), self.w[7], np.float32)
+        cuts = range(0, len(found), CHUNK)
+        for order, weights, mix in ((cuts, self.w[0:3], self.w[6][:HIDDEN]), (reversed(cuts), self.w[3:6], self.w[6][HIDDEN:])):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            turn = slice(None, None, 1 if order is cuts else -1)
+            for at in order:
+                x = vectors(found[at : at + CHUNK])[turn, None]
+                out[at : at + CHUNK] += (self._read(x, *weights, None, state)[:, 0] @ mix)[turn]
         return out
 
     def forward(self, x: np.ndarray, length: np.ndarray, kept: list | None = None) -> np.ndarray:
@@ -369,19 +449,23 @@ def trained(n_pages: int = 700, steps: int = 260, seed: int = 5) -> BiLstm:
 def extract(pages: list[str], model: BiLstm) -> list[str]:
     """The main text of each page."""
     found = [blocks(p) for p in pages]
-    flat = vectors([b for page in found for b in page])
-    at = np.concatenate([[0], np.cumsum([len(p) for p in found])])
     out = [""] * len(pages)
+    written = lambda i, main: "\n\n".join(b.text for b, yes in zip(found[i], main, strict=False) if yes)
     order = [i for i in np.argsort([len(p) for p in found], kind="stable") if found[i]]
+    while order and len(found[order[-1]]) > CELLS:
+        i = order.pop()
+        out[i] = written(i, model.long_logits(found[i]) > 0)
     while order:
         # pages of like length together, as many as the padded cells allow
         longest = len(found[order[-1]])
         take = max(1, min(len(order), CELLS // longest))
         chosen, order = order[-take:], order[:-take]
-        x, length = _padded([flat[at[i] : at[i + 1]] for i in chosen])
+        flat = vectors([b for i in chosen for b in found[i]])
+        at = np.concatenate([[0], np.cumsum([len(found[i]) for i in chosen])])
+        x, length = _padded([flat[at[k] : at[k + 1]] for k in range(take)])
         main = model.forward(x, length) > 0
         for k, i in enumerate(chosen):
-            out[i] = "\n\n".join(b.text for b, yes in zip(found[i], main[:, k], strict=False) if yes)
+            out[i] = written(i, main[:, k])
     return out
 
 
@@ -390,9 +474,8 @@ def extracted(pages: DataFrame, keys: list[str], column: str = "html", most: int
     spec = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     shipped = pages.sparkSession.sparkContext.broadcast(trained())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidelog.llm.text import slices
-
         for batch in batches:
             sources = strings(batch.column(batch.num_columns - 1))
             for lo, hi in slices(sources, most):
