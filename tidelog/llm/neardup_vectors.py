@@ -14,12 +14,17 @@ cosine shares a cell with a probability of at least 98 %. A pair is counted in
 the first table that has it in one cell, so nothing is counted twice and no list
 of pairs is ever made: tasks give the number of links per vector, and at most
 one edge per vector of the cell for the components. Cells over ``BLOCK``
-vectors are split into pairs of blocks. Equal vectors are one, with a weight.
+vectors are split into pairs of blocks.
+
+What moves is a vector with its number, once per table. Which cells it has in
+the tables before is worked out again where it arrives; these projections are
+of whole numbers, small enough that their sums are exact in any order, so that
+every task finds the same signs. Equal vectors are one, numbered, with a weight.
 
 Defined cases: null, zero, and vectors with null or non-finite components link
 with nothing, as do rows without an id (their component is null and they are
-not kept); vectors of different lengths do not link; repeated rows are vectors
-of their own; an empty table gives no rows; other columns are ignored.
+not kept); vectors of different lengths do not link; rows that share an id are
+vectors of their own; an empty table gives no rows; other columns are ignored.
 """
 
 import math
@@ -32,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.groups import Sets, components, dealt, runs
+from tidelog.llm.text import lean
 from tidelog.sources.shared import SharedTables
 
 THRESHOLD = 0.9
-DIRECTIONS, CELL, BLOCK = 24, 512, 1024
+DIRECTIONS, CELL, BLOCK = 24, 256, 1024
 RECALL, CELL_RECALL = 0.99, 0.98
 
 
@@ -53,6 +59,33 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return out * math.sqrt(dim) / np.linalg.norm(out, axis=0)
 
 
+#: Steps to which components and directions are rounded for signs: products of up to 2**12 of them add up exactly in a double.
+STEPS = float(1 << 20)
+
+
+@lru_cache(256)
+def _whole_directions(dim: int, k: int, table: int) -> np.ndarray:
+    d = directions(dim, k, 100 + table)
+    return np.rint(d * (STEPS / np.abs(d).max()))
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors (n, dim) times powers of two, exactly, so that squares of theirs are in range."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def cell_of(v: np.ndarray, k: int, table: int) -> np.ndarray:
+    """The signs of scaled vectors (n, dim), with their length, as one number each."""
+    n, dim = v.shape
+    if not k:
+        return np.full(n, dim, np.int64)
+    whole = np.rint(v * (STEPS / np.abs(v).max(1, keepdims=True)))
+    total = np.zeros((n, k))
+    for lo in range(0, dim, 1 << 12):  # exact sums each; their total is taken in a fixed order
+        total += whole[:, lo : lo + (1 << 12)] @ _whole_directions(dim, k, table)[lo : lo + (1 << 12)]
+    return ((total > 0) @ (1 << np.arange(k, dtype=np.int64))) * 65536 + dim % 65536
+
+
 @lru_cache(64)
 def calibrated(dim: int, threshold: float = THRESHOLD) -> tuple[float, int]:
     """Half-width of a window, and the collisions that RECALL of the pairs at ``threshold`` reach."""
@@ -83,12 +116,17 @@ def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
     return out.reshape(n, m)
 
 
-def _linked(cell: pa.Table, threshold: float) -> dict[str, np.ndarray]:
-    """The vectors of one part of a cell with links counted here and an edge to their smallest."""
-    rep, copies, table = np.array(cell["rep"]), np.array(cell["copies"]), cell["t"][0].as_py()
-    n = len(rep)
-    v = np.array(cell["v"].combine_chunks().flatten(), np.float64).reshape(n, -1)
-    marks = np.array(cell["marks"].combine_chunks().flatten()).reshape(n, -1)[:, :table]
+def _linked(cell: pa.Table, k: int, threshold: float) -> dict[str, np.ndarray]:
+    """The vectors of one part of a cell with links counted here and an edge to the smallest they reach here."""
+    number, copies, table = np.array(cell["number"]), np.array(cell["copies"]), cell["t"][0].as_py()
+    n = len(number)
+    v = scaled(np.array(cell["v"].combine_chunks().flatten(), np.float64).reshape(n, -1))
+    none = {"number": number[:0], "links": number[:0], "root": number[:0]}
+    marks = np.empty((n, table), np.int64)
+    for t in range(table):
+        marks[:, t] = cell_of(v, k, t)
+        if (marks[:, t] == marks[0, t]).all():
+            return none  # all are in one cell there
     norm = np.sqrt((v * v).sum(1))
     along = (v / norm[:, None]) @ directions(v.shape[1], DIRECTIONS, 1)
     width, least = calibrated(v.shape[1], threshold)
@@ -102,19 +140,21 @@ def _linked(cell: pa.Table, threshold: float) -> dict[str, np.ndarray]:
         i, j = rows[i], right[j]
         if not crossed:
             i, j = i[i < j], j[i < j]
-        new = ~(marks[i] == marks[j]).any(1)  # no earlier table has them in one cell
-        i, j = i[new], j[new]
-        near = (v[i] * v[j]).sum(1) / (norm[i] * norm[j]) >= threshold
-        i, j = i[near], j[near]
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            sets.join(a, b)
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            new = ~(marks[a] == marks[b]).any(1)  # no earlier table has them in one cell
+            a, b = a[new], b[new]
+            near = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+            a, b = a[near], b[near]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                sets.join(x, y)
     root = np.array([sets.find(a) for a in range(n)])
     smallest = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, root, rep)
+    np.minimum.at(smallest, root, number)
     keep = links > 0
-    return {"rep": rep[keep], "links": links[keep], "root": smallest[root][keep]}
+    return {"number": number[keep], "links": links[keep], "root": smallest[root][keep]}
 
 
 def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -125,38 +165,40 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0)
     rows = all_rows.withColumn("_ok", F.coalesce(usable, F.lit(False)))
     classes = rows.where("_ok").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = shared.put(classes)
+    classes = shared.put(classes.withColumn("number", F.monotonically_increasing_id()))  # numbers hold once they are written
     k, tables = tables_for(classes.count(), threshold)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             sizes = np.diff(np.array(lists.offsets))
-            marks = np.zeros((batch.num_rows, tables), np.int64)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                v = np.array(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), dim)
-                v /= np.abs(v).max(1, keepdims=True)
-                for t in range(tables):
-                    bits = v @ directions(int(dim), k, 100 + t) > 0 if k else np.zeros((len(at), 0), bool)
-                    marks[at, t] = (bits @ (1 << np.arange(k, dtype=np.int64))) * 65536 + dim % 65536 if k else dim
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), tables).cast(pa.list_(pa.int64()))], names=["v", "rep", "copies", "marks"])
+            groups = [(at, scaled(np.array(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), -1))) for at in (np.flatnonzero(sizes == dim) for dim in np.unique(sizes))]
+            for t in range(tables):
+                marks = np.zeros(batch.num_rows, np.int64)
+                for at, v in groups:
+                    marks[at] = cell_of(v, k, t)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(marks)], names=["v", "number", "copies", "t", "mark"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    marked = classes.mapInArrow(mark, f"v {kind}, rep long, copies long, marks array<long>")
-    cells = marked.select("*", F.posexplode("marks").alias("t", "mark")).withColumn("cell", F.xxhash64("t", "mark")).drop("mark")
-    spread = dealt(cells, "cell", F.col("rep"), BLOCK).select("cell", "part", "first", "t", "rep", "copies", "marks", "v")
+    dealt_out = classes.select("v", "number", "copies").mapInArrow(deal, f"v {kind}, number long, copies long, t int, mark long")
+    cells = dealt_out.withColumn("cell", F.xxhash64("t", "mark")).drop("mark")
+    spread = dealt(cells, "cell", F.col("number"), BLOCK).select("cell", "part", "first", "t", "number", "copies", "v")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["cell", "part"]):
             if group.num_rows > 1:
-                yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in _linked(group, threshold).items()})
-
-    found = shared.put(spread.mapInArrow(count, "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    near = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    near = near.select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("root", "rep").alias("_root"))
+                yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in _linked(group, k, threshold).items()})
+
+    found = shared.put(spread.mapInArrow(count, "number long, links long, root long"))
+    links = found.groupBy("number").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("number").alias("a"), F.col("root").alias("b")))
+    numbered = classes.select("number", "rep").join(roots, F.col("number") == F.col("node"), "left").select("number", "rep", F.coalesce("root", "number").alias("_root"))
+    smallest = numbered.groupBy("_root").agg(F.min("rep").alias("_component"))
+    placed = numbered.join(smallest, "_root").select("number", "_component")
+    near = classes.join(links, "number", "left").join(placed, "number")
+    near = near.select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), "_component")
     out = rows.join(near, rows["_ok"] & (rows["v"] == near["_v"]), "left")
-    component = F.coalesce("_root", "vec_id")
+    component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
