@@ -1,14 +1,16 @@
 """Sum-of-squares online packing of tokenised documents.
 
 Method: windows of 2048 ids are filled one document at a time. An array holds
-how many windows are partly filled at each level; a document goes where the sum
-of the squared counts becomes least, a new window being level 0. Of documents
-longer than a window the full windows are cut off first.
+how many windows are partly filled at each level, a level being a 64th of a
+window; a document goes where the sum of the squared counts becomes least, a new
+window being level 0. Of documents longer than a window the full windows are cut
+off first. A window in its last level is closed: the few ids it lacks are cut
+off the next document.
 
-A full window is closed at once, and a piece's place is known when it is put.
-When a task's input ends, the windows that are still open are dealt out again:
-their pieces are laid end to end and cut into full windows, and the last of
-them into windows whose lengths are powers of two, which need no padding.
+Windows stay as they were filled. Only when a task's input ends, the emptiest of
+the windows that are still open give their pieces to fill the others, and what
+is left of the last is cut into windows whose lengths are powers of two, which
+need no padding. ``moved`` tells these pieces.
 
 Each task packs its own share of the documents with its own levels: there is no
 shuffle, and a task holds the ids of what lies in open windows only.
@@ -32,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text import SPACE, slices, strings
+from tidelog.llm.text import SPACE, lean, slices, strings
 
-WINDOW, END_ID = 2048, 1
+WINDOW, LEVELS, END_ID = 2048, 64, 1
 #: Bytes of text tokenised together, and pieces remembered.
 SLICE, REMEMBERED = 1 << 20, 200_000
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, moved boolean"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -124,87 +126,120 @@ def _tokens(path: str) -> WordTokens:
 
 
 class Packer:
-    """Places items shorter than a window; ``close`` yields the pieces of closed windows."""
+    """Places items shorter than a window; ``done`` has the pieces of closed windows: item, start, length, sequence, offset, moved."""
 
-    def __init__(self, first: int, window: int = WINDOW):
-        self.window, self.next, self.count = window, first, np.zeros(window, np.int64)
-        self.open: dict[int, list[list]] = {}  # level: pieces of each window at it
+    def __init__(self, first: int, window: int = WINDOW, levels: int = LEVELS):
+        self.window, self.next, self.unit = window, first, max(1, window // levels)
+        self.open: list[list[list]] = [[] for _ in range(-(-window // self.unit))]  # by level: [fill, pieces] of each window
+        self.short: list[list] = []  # closed, but for ids of the next item
         self.done: list[tuple] = []
 
-    def _new(self) -> int:
-        self.next += 1
-        return self.next - 1
-
     def _finish(self, pieces: list) -> None:
-        sequence, offset = self._new(), 0
-        for piece in pieces:
-            self.done.append((*piece[:3], sequence, offset))
-            offset += piece[2]
+        sequence, offset = self.next, 0
+        self.next += 1
+        for item, start, length, moved in pieces:
+            self.done.append((item, start, length, sequence, offset, moved))
+            offset += length
+
+    def _keep(self, window: list) -> None:
+        if window[0] == self.window:
+            self._finish(window[1])
+        elif window[0] > self.window - self.unit:
+            self.short.append(window)
+        else:
+            self.open[window[0] // self.unit].append(window)
 
     def put(self, item: int, length: int, start: int) -> None:
-        """``item`` numbers the document; pieces are (item, start, length)."""
+        """``item`` numbers the document."""
         while length >= self.window:
-            self._finish([(item, start, self.window)])
+            self._finish([(item, start, self.window, False)])
             start, length = start + self.window, length - self.window
+        while length and self.short:
+            last = self.short.pop()
+            take = min(self.window - last[0], length)
+            last[0] += take
+            last[1].append((item, start, take, False))
+            start, length = start + take, length - take
+            self._keep(last)
         if not length:
             return
-        room = self.window - length
-        levels = np.flatnonzero(self.count[: room + 1])
         # change of the sum of squares: one window fewer at the level, one more where it gets to
-        after = levels + length
-        gain = -2 * self.count[levels] + 1
-        gain = gain + np.where(after < self.window, 2 * self.count[np.minimum(after, self.window - 1)] + 1, 0)
-        opened = 2 * self.count[length] + 1
-        if len(levels) and (best := gain.min()) <= opened:
-            level = int(levels[gain == best][-1])  # of equals the fullest
-            pieces = self.open[level].pop()
-            self.count[level] -= 1
-        else:
-            level, pieces = 0, []
-        pieces.append((item, start, length))
-        level += length
-        if level == self.window:
-            self._finish(pieces)
-        else:
-            self.count[level] += 1
-            self.open.setdefault(level, []).append(pieces)
+        more = lambda fill: 0 if fill > self.window - self.unit else 2 * len(self.open[fill // self.unit]) + 1
+        best, level = more(length), None
+        for k in range((self.window - length) // self.unit + 1):
+            here = self.open[k]
+            if here and here[-1][0] + length <= self.window:
+                change = 1 - 2 * len(here) + more(here[-1][0] + length)
+                if change <= best:  # of equals the fullest
+                    best, level = change, k
+        chosen = [0, []] if level is None else self.open[level].pop()
+        chosen[0] += length
+        chosen[1].append((item, start, length, False))
+        self._keep(chosen)
 
     def end(self) -> None:
-        """Closes all: full windows of what is open, the rest by powers of two."""
-        rest = [p for level in sorted(self.open) for pieces in self.open[level] for p in pieces]
-        total = sum(p[2] for p in rest)
-        goals = [self.window] * (total // self.window) + [1 << k for k in range(self.window.bit_length() - 1, -1, -1) if total % self.window >> k & 1]
-        at, taken = 0, 0
-        for goal in goals:
-            pieces, need = [], goal
-            while need:
-                item, start, length = rest[at]
-                take = min(need, length - taken)
-                pieces.append((item, start + taken, take))
-                need, taken = need - take, taken + take
-                if taken == length:
-                    at, taken = at + 1, 0
-            self._finish(pieces)
-        self.open, self.count[:] = {}, 0
+        """Closes all: the emptiest windows fill the others."""
+        rest = sorted([w for level in self.open for w in level] + self.short, key=lambda w: w[0])
+        self.open, self.short = [[] for _ in self.open], []
+        giver, taker = 0, len(rest) - 1
+        while taker > giver:
+            window, source = rest[taker], rest[giver][1]
+            while window[0] < self.window and source:
+                item, start, length, _ = source.pop()
+                take = min(length, self.window - window[0])
+                window[1].append((item, start, take, True))
+                window[0] += take
+                if take < length:
+                    source.append((item, start + take, length - take, True))
+            if window[0] == self.window:
+                self._finish(window[1])
+                taker -= 1
+            if not source:
+                giver += 1
+        if taker == giver:
+            self._cut(rest[giver][1])
+
+    def _cut(self, pieces: list) -> None:
+        """Windows of powers of two; one that has such a length stays."""
+        total = sum(p[2] for p in pieces)
+        if total & (total - 1) == 0:
+            return self._finish(pieces) if total else None
+        rest = pieces[::-1]
+        for goal in (1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1):
+            held = []
+            while goal:
+                item, start, length, _ = rest.pop()
+                take = min(goal, length)
+                held.append((item, start, take, True))
+                goal -= take
+                if take < length:
+                    rest.append((item, start + take, length - take, True))
+            self._finish(held)
+        return None
+
+    def waiting(self) -> set[int]:
+        """Items with pieces in windows that are not done."""
+        return {p[0] for level in (*self.open, self.short) for w in level for p in w[1]}
 
 
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of (doc_id, text) by ``SCHEMA``. Their ids are the document's ids from ``start``."""
     path = path or default_tokenizer()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = _tokens(path), Packer(TaskContext.get().partitionId() << 36, window)
         waiting: dict[int, list] = {}  # of documents with pieces in open windows: id, tokens, first id kept, ids from there
         number = 0
 
         def emit() -> pa.RecordBatch:
-            rows = [(waiting[i][0], start, length, crc(i, start, length), waiting[i][1], sequence, offset) for i, start, length, sequence, offset in packer.done]
+            rows = [(waiting[i][0], start, length, crc(i, start, length), waiting[i][1], sequence, offset, moved) for i, start, length, sequence, offset, moved in packer.done]
             packer.done.clear()
             columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
-            held = {p[0] for windows in packer.open.values() for pieces in windows for p in pieces}
+            held = packer.waiting()
             for i in [i for i in waiting if i not in held]:
                 del waiting[i]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if name == "moved" else pa.int64()) for c, name in zip(columns, _NAMES, strict=True)], names=_NAMES)
 
         def crc(i: int, start: int, length: int) -> int:
             _, _, kept, ids = waiting[i]
