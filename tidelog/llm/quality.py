@@ -1,22 +1,30 @@
 """A quality classifier learned from positive and unlabelled text.
 
-Method: a small network over measures of the text minimises the non-negative
-unbiased risk: with class prior p, p times the loss of trusted positives as
-positive, plus the larger of 0 and the loss of unlabelled text as negative less
-p times that of positives as negative. Where that difference turns negative,
-its gradient is followed upwards instead. The prior is estimated as the share
-of positives among the labels learned from. A last logistic step, fitted on
-those same labels, turns outputs into probabilities.
-
-The fit uses at most about ``LABELLED`` labelled and ``UNLABELLED`` other
-documents, drawn by a hash of the id; the driver holds their measures, 20
-numbers each, and the model.
+Method: small networks over measures and hashed n-grams of the text, whose mean
+output counts, minimise the non-negative unbiased risk: with class prior p, p times the loss of trusted
+positives as positive, plus the larger of 0 and the loss of unlabelled text as
+negative less p times that of positives as negative. Where that difference turns
+negative, its gradient is followed upwards instead. Labels other than 1 are not
+used at all, neither in the fit nor after it.
+
+The prior is estimated from positives and unlabelled text: among texts above a
+score, the share of all unlabelled texts over the share of all positives bounds
+it from above, and the bound is read where its error is least (the best bin).
+First networks, trained with a prior of a half, give these scores, for every
+unlabelled document. Probabilities come from a logistic step on the outputs of
+the second networks, fitted by the same risk with the logarithmic loss, which is
+convex, on documents that the networks have not seen.
+
+Weights are fitted on at most about ``LABELLED`` positives and ``UNLABELLED``
+unlabelled documents, drawn by a hash of the id; the driver holds their features
+and the model. Inputs are bounded as they are, so no statistics are taken of a
+sample; the prior's counts are of all unlabelled documents.
 
 Defined cases: a null text is empty, and an empty text gets the score of its
-measures; repeated labels of a document count as 1 if any is 1; null labels and
-ids are not learned from; without positives every score is the prior, 0.5 if
-there are no labels; ties cannot arise, as each text is scored alone; texts are
-read whole and other columns ignored.
+features; repeated labels of a document count as 1 if any is 1; null labels and
+ids are not learned from; without positives every score is 0.5; ties cannot
+arise, as each text is scored alone; texts are read whole and other columns
+ignored; ids are of any type.
 """
 
 from collections.abc import Iterator
@@ -27,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text import SPACE, Words, buffers, slices, strings, windows
+from tidelog.llm.text import LOWER, SPACE, Words, buffers, lean, slices, strings, windows
 
 LABELLED, UNLABELLED = 8000, 8000
-HIDDEN, STEPS, BATCH, RATE = 16, 800, 512, 0.01
+NETWORKS, HIDDEN, STEPS, BATCH, RATE, DECAY = 4, 24, 300, 512, 0.005, 0.03
 THRESHOLD = 0.3
 SLICE = 1 << 20
-N_MEASURES = 20
+#: Measures, and buckets of hashed words and of hashed byte trigrams.
+SHARES, WORD_DIM, CHAR_DIM = 20, 192, 192
+N_MEASURES = SHARES + WORD_DIM + CHAR_DIM
+#: Bins that scores are counted in, and outputs at their ends.
+BINS, FAR = 2048, 16.0
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -49,31 +61,36 @@ _CLASSES = [
 
 
 def measures(texts: pa.StringArray) -> np.ndarray:
-    """(n, 20): shares of character classes, lengths and repetition of each text."""
+    """(n, N_MEASURES), each between 0 and about 6: roots of shares of character classes (times 3), words and trigrams, and logarithms of lengths."""
     data, at = buffers(texts)
     n = len(texts)
     words = Words(data, at)
-    h = words.hashes()
+    h = words.hashes(lower=True)
     size, count = np.diff(at).astype(float), words.count.astype(float)
     share = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at]) / np.maximum(size, 1)
-    out = [share(c[data]) for c in _CLASSES]
+    shares = [share(c[data]) for c in _CLASSES]
+    upper = shares[0] / np.maximum(shares[0] + shares[1], 1e-9)
     length = (words.end - words.start).astype(float)
-    out += [np.log1p(size), np.log1p(count)]
-    mean = np.bincount(words.doc, length, minlength=n) / np.maximum(count, 1)
-    out += [np.log1p(mean)]
+    per_word = np.maximum(count, 1)
+    last = data[words.end - 1] if len(words.end) else data[:0]
+    shares += [np.bincount(words.doc, _CLASSES[3][last] | _CLASSES[5][last], minlength=n) / per_word, np.bincount(words.doc, length == 1, minlength=n) / per_word, upper]
+    tri, doc, _ = windows(words, h, 3)
+    shares += [_distinct(words.doc, h, n) / per_word, _distinct(doc, tri, n) / np.maximum(np.bincount(doc, minlength=n), 1)]
     longest = np.zeros(n)
     np.maximum.at(longest, words.doc, length)
-    out += [np.log1p(longest)]
-    out += [_distinct(words.doc, h, n) / np.maximum(count, 1)]
-    tri, doc, _ = windows(words, h, 3)
-    out += [_distinct(doc, tri, n) / np.maximum(np.bincount(doc, minlength=n), 1)]
-    last = data[words.end - 1] if len(words.end) else data[:0]
-    out += [np.bincount(words.doc, _CLASSES[3][last] | _CLASSES[5][last], minlength=n) / np.maximum(count, 1)]
-    single = np.bincount(words.doc, length == 1, minlength=n) / np.maximum(count, 1)
-    out += [single]
-    upper = out[0] / np.maximum(out[0] + out[1], 1e-9)
-    out += [upper]
-    return np.stack(out, axis=1)
+    logs = [size, count, np.bincount(words.doc, length, minlength=n) / per_word, longest]
+    out = np.empty((n, N_MEASURES), np.float32)
+    out[:, :SHARES] = 3 * np.stack([*map(np.sqrt, shares), *[np.log1p(x) / 10 for x in logs]], axis=1)
+    cells = words.doc * WORD_DIM + (h >> np.uint64(33)).astype(np.int64) % WORD_DIM
+    out[:, SHARES : SHARES + WORD_DIM] = np.sqrt(np.bincount(cells, minlength=n * WORD_DIM).reshape(n, WORD_DIM) / per_word[:, None])
+    low = LOWER[data].astype(np.uint32)
+    gram = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA6B) + low[2:] * np.uint32(0xC2B2AE35)) if len(low) > 2 else low[:0]
+    gram ^= gram >> np.uint32(15)
+    owner = np.repeat(np.arange(n, dtype=np.int64), np.maximum(np.diff(at), 0))
+    inside = owner[: len(gram)] == owner[2 : 2 + len(gram)]
+    cells = (owner[: len(gram)] * CHAR_DIM + (gram * np.uint32(0x27D4EB2F) >> np.uint32(16)).astype(np.int64) % CHAR_DIM)[inside]
+    out[:, SHARES + WORD_DIM :] = np.sqrt(np.bincount(cells, minlength=n * CHAR_DIM).reshape(n, CHAR_DIM) / np.maximum(size - 2, 1)[:, None])
+    return out
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -90,78 +107,130 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    prior: float
-    mean: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    layers: tuple | None = None
+    prior: float | None
+    networks: list | None = None
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.layers
-        return np.tanh(np.clip((x - self.mean) / self.scale, -5, 5) @ a + b) @ c + d
+        return np.mean([output(w, x) for w in self.networks], axis=0)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        if self.layers is None:
-            return np.full(len(x), self.prior)
-        return _sigmoid(self.slope * self.raw(x) + self.shift)
+        if self.networks is None:
+            return np.full(len(x), 0.5)
+        return _sigmoid(self.slope * self.raw(x).astype(float) + self.shift)
 
 
-def train(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, prior: float) -> Model:
-    """``positive`` and ``negative`` mark labelled rows of ``x``; all rows serve as unlabelled text."""
-    if not positive.any():
-        return Model(prior)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - mean) / scale, -5, 5)
-    rng = np.random.default_rng(23)
-    w = [rng.normal(0, 0.3, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(())]
-    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    trusted, rest = np.flatnonzero(positive), np.flatnonzero(~positive & ~negative)
-    if not len(rest):
-        rest = np.arange(len(z))
+def output(w: list, x: np.ndarray) -> np.ndarray:
+    return np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
+
+
+def risk(w: list, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk under the sigmoid loss, and the gradients to descend by: those of the risk, or upwards of its second part where that is negative."""
+    zp, zu = output(w, positive), output(w, unlabelled)
+    sp, su = _sigmoid(zp), _sigmoid(zu)  # the loss as negative; as positive it is one less that
+    slack = su.mean() - prior * sp.mean()
+    up, uu = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
 
-    def backward(rows: np.ndarray, gradient: np.ndarray) -> list[np.ndarray]:
-        hidden = np.tanh(z[rows] @ w[0] + w[1])
+    def backward(x: np.ndarray, gradient: np.ndarray) -> list[np.ndarray]:
+        hidden = np.tanh(x @ w[0] + w[1])
         back = gradient[:, None] * w[2] * (1 - hidden**2)
-        return [z[rows].T @ back, back.sum(0), hidden.T @ gradient, gradient.sum()]
+        return [x.T @ back, back.sum(0), hidden.T @ gradient, gradient.sum()]
 
-    def output(rows: np.ndarray) -> np.ndarray:
-        return np.tanh(z[rows] @ w[0] + w[1]) @ w[2] + w[3]
+    first, second = (-2 * prior * up, uu) if slack >= 0 else (prior * up, -uu)
+    return prior * (1 - sp).mean() + max(0.0, slack), [a + b for a, b in zip(backward(positive, first), backward(unlabelled, second), strict=True)]
 
+
+def _network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> list[np.ndarray]:
+    rng = np.random.default_rng([23, seed])
+    d = positive.shape[1]
+    w = [rng.normal(0, 0.3, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(())]
+    w = [p.astype(np.float32) for p in w]
+    m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
     for step in range(1, STEPS + 1):
-        p, u = rng.choice(trusted, BATCH), rng.choice(rest, BATCH)
-        sp, su = _sigmoid(output(p)), _sigmoid(output(u))  # the sigmoid loss as negative; as positive it is one less that
-        slack = su.mean() - prior * sp.mean()
-        up, uu = sp * (1 - sp) / BATCH, su * (1 - su) / BATCH
-        if slack >= 0:
-            grads = [a + b for a, b in zip(backward(p, -2 * prior * up), backward(u, uu), strict=True)]
-        else:
-            grads = [a + b for a, b in zip(backward(p, prior * up), backward(u, -uu), strict=True)]
+        _, grads = risk(w, positive[rng.integers(0, len(positive), BATCH)], unlabelled[rng.integers(0, len(unlabelled), BATCH)], prior)
+        rate = RATE * (1 - step / (STEPS + 1))
         for k, g in enumerate(grads):
-            g = g + 1e-4 * w[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    model = Model(prior, mean, scale, tuple(w))
-    marked = positive | negative
-    model.slope, model.shift = _logistic(model.raw(x[marked]), positive[marked].astype(float))
+            w[k] = (w[k] * (1 - rate * DECAY * (w[k].ndim > 0)) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return w
+
+
+def _learned(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    return Model(prior, [_network(positive, unlabelled, prior, seed) for seed in range(NETWORKS)])
+
+
+def binned(z: np.ndarray) -> np.ndarray:
+    """Counts of outputs by bin."""
+    place = np.clip((z + FAR) / (2 * FAR) * BINS, 0, BINS - 1).astype(np.int64)
+    return np.bincount(place, minlength=BINS)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from binned outputs of positives and of unlabelled texts."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    above_p, above_u = positive[::-1].cumsum()[::-1] / n_p, unlabelled[::-1].cumsum()[::-1] / n_u
+    error = np.sqrt(np.log(40) / (2 * n_p)) + np.sqrt(np.log(40) / (2 * n_u))
+    held = above_p > 0
+    at = np.argmin((above_u[held] + 1.01 * error) / above_p[held])
+    return float(np.clip(above_u[held][at] / above_p[held][at], 0.01, 0.99))
+
+
+def split_rows(positive: np.ndarray) -> np.ndarray:
+    """Rows that the networks do not see: every third positive and every third of the others, in a fixed shuffled order."""
+    spare = np.zeros(len(positive), bool)
+    for which in (positive, ~positive):
+        rows = np.random.default_rng(29).permutation(np.flatnonzero(which))
+        spare[rows[::3] if len(rows) > 2 else rows[:0]] = True
+    return spare
+
+
+def train(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, prior: float | None = None, counted=None) -> Model:
+    """``positive`` marks trusted rows of ``x``; rows marked ``negative`` are left out, all others are unlabelled.
+
+    ``counted`` gives a network's binned outputs over all unlabelled texts; without it those of ``x`` that it has not seen are counted.
+    """
+    if not positive.any():
+        return Model(None)
+    x = np.asarray(x, np.float32)
+    unlabelled = ~positive & ~negative
+    if not unlabelled.any():
+        unlabelled = ~negative
+    spare = split_rows(positive)
+    seen_p, seen_u = x[positive & ~spare], x[unlabelled & ~spare]
+    spare_p, spare_u = x[positive & spare], x[unlabelled & spare]
+    if not len(spare_p) or not len(spare_u):
+        spare_p, spare_u = seen_p, seen_u
+    if prior is None:
+        first = _learned(seen_p, seen_u, 0.5)
+        prior = best_bin(binned(first.raw(spare_p)), counted(first) if counted else binned(first.raw(spare_u)))
+    model = _learned(seen_p, seen_u, prior)
+    model.slope, model.shift = logistic(model.raw(spare_p).astype(float), model.raw(spare_u).astype(float), prior)
     return model
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of least log loss, by Newton's method with a slight ridge."""
-    if y.min() == y.max():
-        return 1.0, 0.0
-    theta, design = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(50):
+def logistic(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the least risk under the logarithmic loss, by Newton's method with a ridge that fades with the number of texts.
+
+    As the two losses of a text differ by its output, the risk of positives and
+    unlabelled text is the mean loss of the latter as negative less the prior
+    times the mean output of the former: convex in both numbers.
+    """
+    mean, scale = zu.mean(), zu.std() + 1e-9
+    a, b = (zp - mean) / scale, (zu - mean) / scale
+    theta, ridge = np.array([1.0, 0.0]), 0.3 / len(b)
+    design, wanted = np.stack([b, np.ones_like(b)], axis=1), prior * np.array([a.mean(), 1.0])
+    for _ in range(200):
         p = _sigmoid(design @ theta)
-        g = design.T @ (p - y) + 1e-2 * (theta - [1, 0])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, g)
-        theta = theta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        g = design.T @ p / len(p) - wanted + ridge * theta
+        hess = (design * (p * (1 - p))[:, None]).T @ design / len(p) + ridge * np.eye(2)
+        step = np.clip(np.linalg.solve(hess, g), -1, 1)
+        theta = theta - step
+        if np.abs(step).max() < 1e-9:
             break
-    return float(max(theta[0], 1e-3)), float(theta[1])
+    slope = max(float(theta[0]), 1e-3) / scale
+    return slope, float(theta[1]) - slope * mean
 
 
 def _remainder(doc_id: Column, n: int) -> Column:
@@ -172,36 +241,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(_remainder(doc_id, 5) == 0, F.lit(False))
 
 
-def _measured(docs: DataFrame, keys: list[str], kinds: str) -> DataFrame:
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    texts = strings(column)
+    for lo, hi in slices(texts, SLICE):
+        for at in range(lo, hi, 1024):
+            n = min(1024, hi - at)
+            yield at, n, measures(texts.slice(at, n))
+
+
+def _sampled(docs: DataFrame) -> pa.Table:
+    """``y`` and the inputs ``x`` of each document."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(batch.num_columns - 1))
-            for lo, hi in slices(texts, SLICE):
-                x = measures(texts.slice(lo, hi - lo))
-                rows = pa.ListArray.from_arrays((np.arange(len(x) + 1) * N_MEASURES).astype(np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], rows], names=[*keys, "x"])
+            for lo, n, x in _parts(batch.column(1)):
+                rows = pa.ListArray.from_arrays((np.arange(n + 1) * N_MEASURES).astype(np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), rows], names=["y", "x"])
+
+    return docs.select("y", "text").mapInArrow(run, "y int, x array<float>").toArrow()
+
+
+def _counted(docs: DataFrame, model: Model) -> np.ndarray:
+    """Binned outputs of all documents; a task gives one row for each bin that it met."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, x array<double>")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for _, _, x in _parts(batch.column(0)):
+                seen += binned(shipped.value.raw(x))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bin", "n"])
+
+    out = np.zeros(BINS, np.int64)
+    for r in docs.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        out[r["bin"]] = r["n"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from (doc_id, text) and (doc_id, label), of the documents that are not held out."""
-    usable = labels.where(F.col(label).isNotNull() & (_remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n_labels, n_positive = usable.agg(F.count(F.lit(1)), F.sum((F.col("y") == 1).cast("int"))).first()
-    prior = (n_positive or 0) / n_labels if n_labels else 0.5
+    known = labels.where(F.col(label).isNotNull() & (_remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    n_positive, n_known = known.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    if not n_positive:
+        return Model(None)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 20))
-    # at most LABELLED rows of two numbers: a bounded side
-    drawn = usable.where(place < min(1.0, LABELLED / max(n_labels, 1)) * (1 << 20)).limit(LABELLED + LABELLED // 4)
+    # at most LABELLED ids, of a fixed size each: a bounded side
+    drawn = known.where((F.col("y") == 1) & (place < min(1.0, LABELLED / n_positive) * (1 << 20))).select("doc_id").limit(LABELLED + LABELLED // 4).withColumn("_drawn", F.lit(1))
     open_docs = docs.where(_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
-    part = min(1.0, UNLABELLED / max(docs.count(), 1))
-    seen = open_docs.join(F.broadcast(drawn), "doc_id", "left").where(F.col("y").isNotNull() | (place < part * (1 << 20)))
-    sample = _measured(seen.select("doc_id", F.coalesce("y", F.lit(-1)).cast("int").alias("y"), "text"), ["doc_id", "y"], "doc_id long, y int").toArrow()
-    if not sample.num_rows:
-        return Model(prior)
-    ids, y = np.array(sample["doc_id"]), np.array(sample["y"])
-    x = np.array(sample["x"].combine_chunks().flatten()).reshape(-1, N_MEASURES)
-    order = np.lexsort((*x.T, ids))  # the same order at every run
-    return train(x[order], y[order] == 1, y[order] == 0, prior)
+    without = open_docs.join(known.select("doc_id"), "doc_id", "left_anti")
+    part = min(1.0, UNLABELLED / max(docs.count() - n_known, 1))
+    sample = open_docs.join(F.broadcast(drawn), "doc_id").select(F.lit(1).alias("y"), "text").unionByName(without.where(place < part * (1 << 20)).select(F.lit(0).alias("y"), "text"))
+    found = _sampled(sample)
+    if not found.num_rows:
+        return Model(None)
+    y = np.array(found["y"])
+    x = np.array(found["x"].combine_chunks().flatten()).reshape(-1, N_MEASURES)
+    order = np.lexsort((*x[:, SHARES - 1 :: -1].T, y))  # the same order at every run
+    return train(x[order], y[order] == 1, np.zeros(len(y), bool), counted=lambda first: _counted(without, first))
 
 
 def scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -209,11 +307,11 @@ def scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     spec = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(batch.num_columns - 1))
-            for lo, hi in slices(texts, SLICE):
-                s = shipped.value.scores(measures(texts.slice(lo, hi - lo)))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keys, "score", "predicted"])
+            for lo, n, x in _parts(batch.column(batch.num_columns - 1)):
+                s = shipped.value.scores(x)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, n) for c in batch.columns[:-1]], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keys, "score", "predicted"])
 
     return docs.select(*keys, "text").mapInArrow(run, f"{spec}, score double, predicted int")
