@@ -17,7 +17,8 @@ empty mix; columns other than those named are carried along untouched.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.sources.shared import SharedTables
+from tidelog.operators.resolve import sequenced
+from tidelog.sources.shared import SharedTables, checkpointed
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -31,6 +32,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with sums of columns over all rows before each, in order: summed within range partitions, with one row of totals per partition."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    ahead = (Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    across = Window.orderBy("_p").rowsBetween(*ahead)  # a row per shuffle partition
+    carried = totals.select("_p", *[F.coalesce(F.sum(f"_t_{name}").over(across), F.lit(0.0)).alias(f"_c_{name}") for name in sums])
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(*ahead)
+    summed = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0.0)).alias(f"_i_{name}") for name, c in sums.items()])
+    joined = summed.join(F.broadcast(carried), "_p")
+    return joined.select(*rows.columns, *[(F.col(f"_c_{name}") + F.col(f"_i_{name}")).alias(name) for name in sums])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size) with its ``target``: by weight, at most ``cap`` times its size.
 
@@ -38,19 +53,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     uncapped source gets the same amount per weight, and the capped ones are
     those with the least size per weight. So sources are sorted by that ratio
     and the first level at which the next source stays below its cap is taken.
-    The windows run over one row per source.
+    Sources are ranked and summed in range partitions, as there may be many.
     """
     n = len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_rank") - 1) % n + 1).cast("int"))
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("_w", w)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % n + 1).cast("int"))
+    ranked = sequenced(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], 0).withColumnRenamed("seq", "_rank").withColumn("_w", w)
     ranked = ranked.withColumn("_cap", F.lit(cap) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    up = Window.orderBy("_ratio", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("_ratio", "_rank").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    level = (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(up), F.lit(0.0))) / F.sum("_w").over(rest)
-    levels = ranked.withColumn("_level", level)
-    chosen = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_rank", "_level"))).over(whole)["_level"]
-    return levels.withColumn("target", F.coalesce(F.least(F.col("_cap"), chosen * F.col("_w")), F.col("_cap"))).select("source", "source_size", "target")
+    order = [F.col("_ratio").asc(), F.col("_rank").asc()]
+    summed = checkpointed(_before(ranked, order, {"_capped": "_cap", "_passed": "_w"}))
+    whole, weight = summed.agg(F.sum("source_size"), F.sum("_w")).first()
+    level = (F.lit(share) * F.lit(float(whole or 0)) - F.col("_capped")) / (F.lit(float(weight or 0)) - F.col("_passed"))
+    found = summed.withColumn("_level", level).where(F.col("_level") <= F.col("_ratio")).agg(F.min(F.struct("_ratio", "_rank", "_level"))["_level"]).first()[0]
+    target = F.col("_cap") if found is None else F.least(F.col("_cap"), F.lit(found) * F.col("_w"))
+    return summed.select("source", "source_size", target.alias("target"))
 
 
 def _draws(doc_id: Column, text: Column) -> Column:
@@ -83,14 +98,14 @@ def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     small = shared.put(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _draws(F.col(id_col), F.col(text_col)).alias("_digits")))
     goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = shared.put(goal.select(F.col("source").alias("_source"), "source_size", "target", F.floor(rate).cast("bigint").alias("_floor"), (rate - F.floor(rate)).alias("_part")).coalesce(1))
+    goal = shared.put(goal.select(F.col("source").alias("_source"), "source_size", "target", F.floor(rate).cast("bigint").alias("_floor"), (rate - F.floor(rate)).alias("_part")))
     held = small.join(goal, F.col("source").eqNullSafe(F.col("_source")))
     # partial sums per source leave each map task, not documents
     added = [F.sum(F.when(_draw(F.col("_digits"), k) < F.col("_part"), F.col("size")).otherwise(0)).alias(f"_a{k}") for k in range(_DRAWS)]
     short = F.col("target") - F.col("_floor") * F.col("source_size")
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_a{k}") - F.col("_short")).alias("off"), F.lit(k).alias("k")) for k in range(_DRAWS)]))["k"]
     drawn = held.groupBy("_source").agg(F.first(short).alias("_short"), *added).select(F.col("_source").alias("_s"), nearest.alias("_k"))
-    sources = shared.put(goal.join(drawn, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").coalesce(1))
+    sources = shared.put(goal.join(drawn, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
     return small, sources
 
 
@@ -115,7 +130,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 #: The same mix in DuckDB.
 ORACLE = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint as size,
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
     md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as seed from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as r from d group by source),
 w as (select *, case (r - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w, 2.0::double * source_size as cap from s),
