@@ -8,8 +8,9 @@ the probabilities.
 
 Document frequencies are counted over all training documents. Only the weights
 and the temperature are fitted on a sample, of at most about ``PER_LANG``
-documents of each language, drawn by a hash of the id. The driver holds that
-sample's vectors and the model, whose sizes do not grow with the corpus.
+documents of each language and ``SAMPLE`` in all, drawn by a hash of the id. The
+driver holds that sample's vectors and the model, whose sizes do not grow with
+the corpus: the ``LANGUAGES`` languages with the most documents are told apart.
 
 Defined cases: a null text, and one without letters, is ``und`` with score 0;
 null languages and null ids are not learned from; with no training document all
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text import slices, strings
+from tidelog.llm.text import lean, slices, strings
 from tidelog.sources.shared import SharedTables
 
 BUCKETS, LONGEST = 1 << 14, 3
 #: Documents of a language that weights and temperature are fitted on; every sixth is for the temperature.
-PER_LANG, EPOCHS = 1500, 2
+PER_LANG, SAMPLE, LANGUAGES, EPOCHS = 1500, 24_000, 256, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 #: Largest count of a bucket in one row.
@@ -148,15 +149,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Model:
     """A model from (doc_id, text, lang), of the documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder(F.col("doc_id"), 3) != 1)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
     labels = sorted(sizes)
     if not labels:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, PER_LANG / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)
+    each = min(PER_LANG, SAMPLE // len(labels))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sizes.items()], "lang string, _share double")
+    usable = usable.join(F.broadcast(shares), "lang")  # LANGUAGES rows at most
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) < F.col("_share") * (1 << 20)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -239,6 +241,7 @@ def predicted(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     spec = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = _predict(shipped.value, batch.column(batch.num_columns - 1))
@@ -261,6 +264,7 @@ def identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = _predict(shipped.value, batch.column(at))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelog.llm.text import Words, buffers, slices, strings, windows
+from tidelog.llm.text import SPACE, Words, buffers, lean, slices, strings, windows
 
 #: Limits of the verdict.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONGEST_FLOOR = 8, 0.3, 0.25, 50
@@ -167,7 +167,7 @@ def measure(texts: pa.StringArray) -> pa.RecordBatch:
     n = len(texts)
     words = Words(data, at)
     hashes = words.hashes()
-    lead = ((data & 0xC0) != 0x80) & ~_spaces(data)
+    lead = ((data & 0xC0) != 0x80) & ~SPACE[data]
     per_doc = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
     tri, doc, first = windows(words, hashes, 3)
     repeated = np.zeros(0, np.int64)
@@ -193,14 +193,9 @@ def measure(texts: pa.StringArray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COLUMNS)
 
 
-def _spaces(data: np.ndarray) -> np.ndarray:
-    from tidelog.llm.text import SPACE
-
-    return SPACE[data]
-
-
 def judged(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` of each document with the columns of ``SCHEMA``: one pass without a shuffle."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(batch.num_columns - 1))
@@ -214,6 +209,7 @@ def judged(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index(text)))
