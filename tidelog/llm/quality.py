@@ -1,19 +1,22 @@
 """A quality classifier learned from positive and unlabelled text.
 
 Method: small networks over measures and hashed n-grams of the text, whose mean
-output counts, minimise the non-negative unbiased risk: with class prior p, p times the loss of trusted
-positives as positive, plus the larger of 0 and the loss of unlabelled text as
-negative less p times that of positives as negative. Where that difference turns
-negative, its gradient is followed upwards instead. Labels other than 1 are not
-used at all, neither in the fit nor after it.
+output counts, minimise the non-negative unbiased risk: with class prior p, p
+times the loss of trusted positives as positive, plus the larger of 0 and the
+loss of unlabelled text as negative less p times that of positives as negative.
+Where that difference turns negative, its gradient is followed upwards instead.
+Labels other than 1 are not used at all, neither in the fit nor after it:
+unlabelled text is every document that is not held out, whatever is known of it.
 
 The prior is estimated from positives and unlabelled text: among texts above a
 score, the share of all unlabelled texts over the share of all positives bounds
 it from above, and the bound is read where its error is least (the best bin).
 First networks, trained with a prior of a half, give these scores, for every
 unlabelled document. Probabilities come from a logistic step on the outputs of
-the second networks, fitted by the same risk with the logarithmic loss, which is
-convex, on documents that the networks have not seen.
+the second networks, of the greatest likelihood given the prior, again from
+positives and unlabelled text. Each network learns from all folds of the
+documents but one; for the prior and the logistic step a document's output is
+that of the network that has not seen its fold.
 
 Weights are fitted on at most about ``LABELLED`` positives and ``UNLABELLED``
 unlabelled documents, drawn by a hash of the id; the driver holds their features
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.text import LOWER, SPACE, Words, buffers, lean, slices, strings, windows
 
 LABELLED, UNLABELLED = 8000, 8000
-NETWORKS, HIDDEN, STEPS, BATCH, RATE, DECAY = 4, 24, 300, 512, 0.005, 0.03
+NETWORKS, HIDDEN, STEPS, BATCH, RATE, DECAY = 4, 24, 500, 512, 0.005, 0.03
 THRESHOLD = 0.3
 SLICE = 1 << 20
 #: Measures, and buckets of hashed words and of hashed byte trigrams.
@@ -115,6 +118,10 @@ class Model:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.mean([output(w, x) for w in self.networks], axis=0)
 
+    def unseen(self, x: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Each row's output of the network that does not learn from its fold."""
+        return np.stack([output(w, x) for w in self.networks])[fold, np.arange(len(x))]
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.networks is None:
             return np.full(len(x), 0.5)
@@ -157,10 +164,6 @@ def _network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     return w
 
 
-def _learned(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    return Model(prior, [_network(positive, unlabelled, prior, seed) for seed in range(NETWORKS)])
-
-
 def binned(z: np.ndarray) -> np.ndarray:
     """Counts of outputs by bin."""
     place = np.clip((z + FAR) / (2 * FAR) * BINS, 0, BINS - 1).astype(np.int64)
@@ -177,19 +180,28 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[held][at] / above_p[held][at], 0.01, 0.99))
 
 
-def split_rows(positive: np.ndarray) -> np.ndarray:
-    """Rows that the networks do not see: every third positive and every third of the others, in a fixed shuffled order."""
-    spare = np.zeros(len(positive), bool)
+def _shuffled_folds(positive: np.ndarray) -> np.ndarray:
+    fold = np.zeros(len(positive), np.int64)
     for which in (positive, ~positive):
         rows = np.random.default_rng(29).permutation(np.flatnonzero(which))
-        spare[rows[::3] if len(rows) > 2 else rows[:0]] = True
-    return spare
+        fold[rows] = np.arange(len(rows)) % NETWORKS
+    return fold
+
 
+def _learned(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, fold: np.ndarray, prior: float) -> Model:
+    """A network for each fold, which does not see it; of all rows where no other has any."""
+    networks = []
+    for k in range(NETWORKS):
+        parts = [x[rows & (fold != k)] if (rows & (fold != k)).any() else x[rows] for rows in (positive, unlabelled)]
+        networks.append(_network(*parts, prior, k))
+    return Model(prior, networks)
 
-def train(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, prior: float | None = None, counted=None) -> Model:
+
+def train(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, prior: float | None = None, counted=None, fold: np.ndarray | None = None) -> Model:
     """``positive`` marks trusted rows of ``x``; rows marked ``negative`` are left out, all others are unlabelled.
 
-    ``counted`` gives a network's binned outputs over all unlabelled texts; without it those of ``x`` that it has not seen are counted.
+    ``fold`` deals rows to networks. ``counted`` gives a model's binned outputs over all unlabelled
+    texts, each by the network of its fold; without it those of ``x`` are counted.
     """
     if not positive.any():
         return Model(None)
@@ -197,37 +209,39 @@ def train(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, prior: floa
     unlabelled = ~positive & ~negative
     if not unlabelled.any():
         unlabelled = ~negative
-    spare = split_rows(positive)
-    seen_p, seen_u = x[positive & ~spare], x[unlabelled & ~spare]
-    spare_p, spare_u = x[positive & spare], x[unlabelled & spare]
-    if not len(spare_p) or not len(spare_u):
-        spare_p, spare_u = seen_p, seen_u
+    fold = _shuffled_folds(positive) if fold is None else fold
     if prior is None:
-        first = _learned(seen_p, seen_u, 0.5)
-        prior = best_bin(binned(first.raw(spare_p)), counted(first) if counted else binned(first.raw(spare_u)))
-    model = _learned(seen_p, seen_u, prior)
-    model.slope, model.shift = logistic(model.raw(spare_p).astype(float), model.raw(spare_u).astype(float), prior)
+        first = _learned(x, positive, unlabelled, fold, 0.5)
+        z = first.unseen(x, fold)
+        prior = best_bin(binned(z[positive]), counted(first) if counted else binned(z[unlabelled]))
+    model = _learned(x, positive, unlabelled, fold, prior)
+    z = model.unseen(x, fold).astype(float)
+    model.slope, model.shift = logistic(z[positive], z[unlabelled], prior)
     return model
 
 
 def logistic(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and shift of the least risk under the logarithmic loss, by Newton's method with a ridge that fades with the number of texts.
+    """Slope and shift of the logistic step from outputs of positives and of unlabelled texts.
 
-    As the two losses of a text differ by its output, the risk of positives and
-    unlabelled text is the mean loss of the latter as negative less the prior
-    times the mean output of the former: convex in both numbers.
+    With p(z) the probability sought, positives are p(z) / prior times as dense
+    at z as unlabelled texts. That makes the chance that a text of both samples
+    is one of the positives a function of slope and shift, whose likelihood is
+    raised by Fisher scoring, under a ridge that fades with the number of texts.
     """
     mean, scale = zu.mean(), zu.std() + 1e-9
-    a, b = (zp - mean) / scale, (zu - mean) / scale
-    theta, ridge = np.array([1.0, 0.0]), 0.3 / len(b)
-    design, wanted = np.stack([b, np.ones_like(b)], axis=1), prior * np.array([a.mean(), 1.0])
-    for _ in range(200):
+    z = (np.concatenate([zp, zu]) - mean) / scale
+    trusted = np.arange(len(z)) < len(zp)
+    odds = len(zp) / (prior * len(zu))
+    theta, ridge = np.array([1.0, np.log(prior / (1 - prior))]), 0.3
+    design = np.stack([z, np.ones_like(z)], axis=1)
+    for _ in range(500):
         p = _sigmoid(design @ theta)
-        g = design.T @ p / len(p) - wanted + ridge * theta
-        hess = (design * (p * (1 - p))[:, None]).T @ design / len(p) + ridge * np.eye(2)
-        step = np.clip(np.linalg.solve(hess, g), -1, 1)
-        theta = theta - step
-        if np.abs(step).max() < 1e-9:
+        chance = odds * p / (1 + odds * p)
+        g = design.T @ ((trusted - chance) * (1 - p)) - ridge * theta
+        info = (design * (chance * (1 - chance) * (1 - p) ** 2)[:, None]).T @ design + ridge * np.eye(2)
+        step = np.clip(np.linalg.solve(info, g), -0.5, 0.5)
+        theta = theta + step
+        if np.abs(step).max() < 1e-8:
             break
     slope = max(float(theta[0]), 1e-3) / scale
     return slope, float(theta[1]) - slope * mean
@@ -250,56 +264,57 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _sampled(docs: DataFrame) -> pa.Table:
-    """``y`` and the inputs ``x`` of each document."""
+    """``y``, ``fold`` and the inputs ``x`` of each document."""
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, n, x in _parts(batch.column(1)):
+            for lo, n, x in _parts(batch.column(2)):
                 rows = pa.ListArray.from_arrays((np.arange(n + 1) * N_MEASURES).astype(np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), rows], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, n) for c in batch.columns[:2]], rows], names=["y", "fold", "x"])
 
-    return docs.select("y", "text").mapInArrow(run, "y int, x array<float>").toArrow()
+    return docs.select("y", "fold", "text").mapInArrow(run, "y int, fold int, x array<float>").toArrow()
 
 
 def _counted(docs: DataFrame, model: Model) -> np.ndarray:
-    """Binned outputs of all documents; a task gives one row for each bin that it met."""
+    """Binned outputs of all documents, by the network of their fold; a task gives one row for each bin that it met."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BINS, np.int64)
         for batch in batches:
-            for _, _, x in _parts(batch.column(0)):
-                seen += binned(shipped.value.raw(x))
+            folds = np.array(batch.column(0))
+            for lo, n, x in _parts(batch.column(1)):
+                seen += binned(shipped.value.unseen(x, folds[lo : lo + n]))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bin", "n"])
 
     out = np.zeros(BINS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+    for r in docs.select("fold", "text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
         out[r["bin"]] = r["n"]
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from (doc_id, text) and (doc_id, label), of the documents that are not held out."""
-    known = labels.where(F.col(label).isNotNull() & (_remainder(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n_positive, n_known = known.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    trusted = labels.where((F.col(label) == 1) & (_remainder(F.col("doc_id"), 5) != 0)).select("doc_id").distinct()
+    n_positive = trusted.count()
     if not n_positive:
         return Model(None)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 20))
     # at most LABELLED ids, of a fixed size each: a bounded side
-    drawn = known.where((F.col("y") == 1) & (place < min(1.0, LABELLED / n_positive) * (1 << 20))).select("doc_id").limit(LABELLED + LABELLED // 4).withColumn("_drawn", F.lit(1))
-    open_docs = docs.where(_remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text")
-    without = open_docs.join(known.select("doc_id"), "doc_id", "left_anti")
-    part = min(1.0, UNLABELLED / max(docs.count() - n_known, 1))
-    sample = open_docs.join(F.broadcast(drawn), "doc_id").select(F.lit(1).alias("y"), "text").unionByName(without.where(place < part * (1 << 20)).select(F.lit(0).alias("y"), "text"))
+    drawn = trusted.where(place < min(1.0, LABELLED / n_positive) * (1 << 20)).limit(LABELLED + LABELLED // 4)
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(NETWORKS)).cast("int")  # a document that is drawn twice is in one
+    open_docs = docs.where(_remainder(F.col("doc_id"), 5) != 0).select("doc_id", fold.alias("fold"), "text")
+    part = min(1.0, UNLABELLED / max(0.8 * docs.count(), 1))
+    sample = open_docs.join(F.broadcast(drawn), "doc_id").select(F.lit(1).alias("y"), "fold", "text").unionByName(open_docs.where(place < part * (1 << 20)).select(F.lit(0).alias("y"), "fold", "text"))
     found = _sampled(sample)
     if not found.num_rows:
         return Model(None)
-    y = np.array(found["y"])
+    y, folds = np.array(found["y"]), np.array(found["fold"])
     x = np.array(found["x"].combine_chunks().flatten()).reshape(-1, N_MEASURES)
-    order = np.lexsort((*x[:, SHARES - 1 :: -1].T, y))  # the same order at every run
-    return train(x[order], y[order] == 1, np.zeros(len(y), bool), counted=lambda first: _counted(without, first))
+    order = np.lexsort((*x[:, SHARES - 1 :: -1].T, folds, y))  # the same order at every run
+    return train(x[order], y[order] == 1, np.zeros(len(y), bool), counted=lambda first: _counted(open_docs, first), fold=folds[order])
 
 
 def scored(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
