@@ -66,26 +66,40 @@ _AFTER_LT = _LETTERS | frozenset("/!?")
 class Step:
     """An open element on the path of those that follow."""
 
-    __slots__ = ("_counts", "depth", "name", "tag", "up")
+    __slots__ = ("_counts", "depth", "key", "name", "tag", "up")
 
     def __init__(self, up: "Step | None", tag: str, name: str):
         self.up, self.tag, self.name, self._counts = up, tag, name, None
         self.depth = up.depth + 1 if up else 0
+        above = up.key if up else ""
+        #: The whole path, for those that are short enough to be remembered.
+        self.key = f"{above}\0{name}" if above is not None and len(above) + len(name) < 1000 else None
 
     def counts(self) -> np.ndarray:
         """Per hashed tag or name how often the path has it, 2 at most."""
+        if self.key is not None:
+            return _remembered(self.key)[0]
         new, step = [], self
-        while step is not None and step._counts is None:
+        while step is not None and step._counts is None and step.key is None:
             new.append(step)
             step = step.up
-        counts = step._counts if step is not None else np.zeros(PATH_DIM, np.uint8)
+        counts = np.zeros(PATH_DIM, np.uint8) if step is None else step.counts() if step.key is not None else step._counts
         for step in reversed(new):
-            counts = np.minimum(counts + _marks(step.name)[0], 2).astype(np.uint8)
-            step._counts = counts
+            counts = step._counts = np.minimum(counts + _marks(step.name)[0], 2)
         return counts
 
     def vector(self) -> np.ndarray:
-        return np.minimum(self.counts() + _marks(self.name)[1], 2)
+        return _remembered(self.key)[1] if self.key is not None else np.minimum(self.counts() + _marks(self.name)[1], 2)
+
+
+@lru_cache(20_000)
+def _remembered(key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and vector of a path."""
+    names = key.split("\0")[1:]
+    counts = np.zeros(PATH_DIM, np.uint8)
+    for name in names:
+        counts = np.minimum(counts + _marks(name)[0], 2)
+    return counts, np.minimum(counts + _marks(names[-1])[1], 2)
 
 
 @lru_cache(20_000)
