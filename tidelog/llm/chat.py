@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text import buffers, strings
+from tidelog.llm.text import buffers, lean, strings
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
-#: Bytes of texts that are assembled together.
-SLICE = 4 << 20
+#: Bytes of texts that are assembled together, and that are scattered at once.
+SLICE, SCATTER = 4 << 20, 1 << 20
 PIECES = "conv_id long, piece long, n_turns long, formatted string, loss_start array<long>, loss_length array<long>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -64,11 +64,12 @@ def _assembled(segments: list[bytes | pa.StringArray], n: int) -> tuple[np.ndarr
             out[starts[:, k, None] + np.arange(len(s))] = np.frombuffer(s, np.uint8)
         else:
             data, at = buffers(s)
-            if len(data) > n * 4096:  # long contents are copied whole
-                for i in range(n):
-                    out[starts[i, k] : starts[i, k] + lengths[i, k]] = data[at[i] : at[i + 1]]
-            else:
-                out[np.repeat(starts[:, k] - at[:-1], lengths[:, k]) + np.arange(len(data))] = data
+            shift = starts[:, k] - at[:-1]
+            for lo in range(0, len(data), SCATTER):  # indices of so many bytes at a time
+                hi = min(lo + SCATTER, len(data))
+                first, last = int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))
+                within = np.minimum(at[first + 1 : last + 1], hi) - np.maximum(at[first:last], lo)
+                out[np.repeat(shift[first:last], within) + np.arange(lo, hi)] = data[lo:hi]
     return out, np.concatenate([starts, ends.reshape(lengths.shape)[:, -1:]], axis=1)
 
 
@@ -99,6 +100,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", "text"]
     dealt = turns.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "role", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40  # ranges are numbered in order
         for batch in batches:
@@ -156,6 +158,7 @@ def digests(pieces: DataFrame) -> DataFrame:
     dealt = pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", "piece")
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
         for batch in batches:
