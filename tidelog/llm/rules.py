@@ -8,7 +8,10 @@ spans of all its occurrences are united. A suffix's deepest interval holds all
 the shorter ones it lies in, so per suffix the larger of its two neighbouring
 prefix lengths gives the whole union. A text fails if the united spans cover
 more than ``MAX_COVERED`` of its words or the longest repeat has more than
-``MAX_LONGEST`` of them (in words, at least ``LONGEST_FLOOR``).
+``MAX_LONGEST`` of them, in words at least ``LONGEST_FLOOR`` and at most
+``LONGEST_CEILING``. A passage that stands twice covers twice its length, so the
+second limit is below half of the first: it tells one long passage from as many
+words in short ones, and does not grow with very long texts.
 
 The base rules fail texts of under 50 words, and those with over half of their
 words in 3-word windows found twice or more.
@@ -27,7 +30,8 @@ from pyspark.sql import DataFrame
 from tidelog.llm.text import SPACE, Words, buffers, lean, slices, strings, windows
 
 #: Limits of the verdict.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST, LONGEST_FLOOR = 8, 0.3, 0.25, 50
+MIN_REPEAT, MAX_COVERED = 8, 0.3
+MAX_LONGEST, LONGEST_FLOOR, LONGEST_CEILING = 0.1, 50, 500
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Bytes of text that are ranked together.
 SLICE = 1 << 20
@@ -145,6 +149,11 @@ def _covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+def longest_allowed(n_words: np.ndarray) -> np.ndarray:
+    """Words that the longest repeat of a text of ``n_words`` may have."""
+    return np.clip(MAX_LONGEST * n_words, LONGEST_FLOOR, LONGEST_CEILING)
+
+
 def _by_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
 
@@ -188,7 +197,7 @@ def measure(texts: pa.StringArray) -> pa.RecordBatch:
     np.maximum.at(longest, words.doc, runs)
     n_repeat, covered = _by_doc(in_repeats, words.doc, n), _by_doc(spans, words.doc, n)
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-    kept = ~failed & (covered <= MAX_COVERED * n_words) & (longest <= np.maximum(LONGEST_FLOOR, MAX_LONGEST * n_words))
+    kept = ~failed & (covered <= MAX_COVERED * n_words) & (longest <= longest_allowed(n_words))
     columns = [n_words, per_doc(lead), per_doc(_SYMBOL[data]), _duplicate_lines(data, at, words, n), n_repeat, longest, covered, failed, kept]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COLUMNS)
 
