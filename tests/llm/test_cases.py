@@ -179,14 +179,14 @@ def test_families_of_near_copies(spark):
     links = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = components(len(texts), links)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    old = ngramjoin.GROUP
+    old = ngramjoin.GROUP, ngramjoin.PIVOTS, ngramjoin.GROUP_GRAMS
     try:
-        for most in (old, 16):
-            ngramjoin.GROUP = most
-            got = {r.doc_id: r.component_id for r in ngramjoin.grouped(df).collect()}
+        for sizes in (old, (16, *old[1:]), (16, 2, old[2]), (10, 0, old[2]), (old[0], 1, 2000)):
+            ngramjoin.GROUP, ngramjoin.PIVOTS, ngramjoin.GROUP_GRAMS = sizes
+            got = {r.doc_id: r.component_id for r in ngramjoin.grouped(df, block_bytes=20_000, bucket_bytes=10_000).collect()}
             assert [got[i] for i in range(len(texts))] == want
     finally:
-        ngramjoin.GROUP = old
+        ngramjoin.GROUP, ngramjoin.PIVOTS, ngramjoin.GROUP_GRAMS = old
 
 
 def test_trie_finds_every_component():
