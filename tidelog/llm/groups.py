@@ -11,7 +11,7 @@ from tidelog.sources.shared import SharedTables, checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the links (a, b): ``root`` is the smallest node it reaches.
+    """(node, root) for each node of the links (a, b) but the roots: ``root`` is the smallest node it reaches.
 
     Alternating stars: every node hands its larger neighbours, then its smaller
     ones, to the smallest node next to it, until only stars are left. A round
@@ -19,38 +19,37 @@ def components(edges: DataFrame) -> DataFrame:
     never collected; each round is cut from its lineage in the shared folder.
     """
     links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
-    while True:
+    while not _stars(links):
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("_m")).select(F.col("n").alias("_n"), F.least("n", "_m").alias("_m"))
         large = both.where("m > n").join(least, F.col("n") == F.col("_n")).select(F.col("m").alias("hi"), F.col("_m").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("_m")).select(F.col("hi").alias("_hi"), "_m")
         moved = large.join(small, F.col("hi") == F.col("_hi")).where("lo <> _m").select(F.col("lo").alias("hi"), F.col("_m").alias("lo"))
         links = checkpointed(moved.unionByName(small.select(F.col("_hi").alias("hi"), F.col("_m").alias("lo"))).distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def split(rows: DataFrame, key: str, by: Column, most: int, weight: Column | None = None, heaviest: int = 0) -> DataFrame:
-    """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows, or twice ``heaviest`` of their ``weight``.
+def _stars(links: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is no larger end itself."""
+    ends = links.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
+    """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows.
 
     A key with more is cut into blocks by a hash of ``by``, and each pair of
     blocks is a part of its own, so that every two rows of a key meet in one
     part. The rows of a part are of one block, or of two of which the lower has
     ``first`` set.
     """
-    load = F.count(F.lit(1)) / most
-    if weight is not None:
-        load = F.greatest(load, F.sum(weight) / heaviest)
-    big = rows.groupBy(key).agg(F.ceil(load).cast("int").alias("_blocks")).where("_blocks > 1").select(F.col(key).alias("_key"), "_blocks")
+    big = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_blocks")).where("_blocks > 1").select(F.col(key).alias("_key"), "_blocks")
     big = SharedTables(rows.sparkSession).put(big)  # of known size: where few keys are big, the rows need not be dealt by key
     held = rows.join(big, F.col(key) == F.col("_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     held = held.withColumn("_block", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     lo, hi = F.least("_block", "_other"), F.greatest("_block", "_other")
-    held = held.withColumn("part", (lo * F.col("_blocks") + hi).cast("long")).withColumn("first", F.col("_block") == lo)
+    held = held.withColumn("part", lo.cast("long") * F.col("_blocks") + hi).withColumn("first", F.col("_block") == lo)
     return held.drop("_key", "_blocks", "_block", "_other")
 
 

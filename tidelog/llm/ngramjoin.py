@@ -15,9 +15,16 @@ sorted (shingle, text) pairs, delta-coded, to buckets by shingle; a bucket
 answers each block with those that occur elsewhere too. A shingle that 64 texts
 of a block share is sent as a count alone, so no common shingle is hot. Texts
 with so many shingles of their own that no prefix shingle is shared are done
-there; they are most. Of the rest, texts with equal sets are one. Groups over
-``GROUP`` sets are split into pairs of blocks. Tasks give one edge per set, never
-pairs, and the edges' components are found in alternating stars.
+there; they are most. Of the rest, texts with equal sets are one. Tasks give one
+edge per set, never pairs, and the edges' components are found in alternating
+stars.
+
+Groups over ``GROUP`` sets are cut into blocks. First each block is joined by
+itself, with a few sets of the group that all blocks have, which makes one
+component of most of a family of near copies. Only sets outside the group's
+largest component are then compared with the other blocks: sets of one component
+need no comparison. So work follows the size of a family, and grows with a square
+only by the sets that are not of it.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are
 their own component; texts of under five words are one shingle; rows with a null
@@ -36,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.groups import Sets, components, runs, split
+from tidelog.llm.groups import Sets, components, runs
 from tidelog.llm.text import Words, buffers, lean, mixed, shingles, slices, strings
 from tidelog.sources.shared import SharedTables
 
@@ -47,8 +54,8 @@ NUMERATOR, DENOMINATOR = 100, 80
 COMMON = 64
 #: Bytes of text hashed together, of a block, and per bucket. A worker takes about ten times as much as a block or bucket has.
 SLICE, BLOCK, BUCKET = 1 << 20, 8 << 20, 8 << 20
-#: Sets, and shingles of theirs, that stay together in a group.
-GROUP, GROUP_GRAMS = 2048, 1 << 20
+#: Sets, and shingles of theirs, that stay together in a group; sets of a larger group that all its blocks have.
+GROUP, GROUP_GRAMS, PIVOTS = 256, 1 << 20, 16
 #: Components with over one in HOT of all rows are joined without an exchange.
 HOT = 256
 
@@ -386,9 +393,12 @@ class Trie:
 
 
 def _joined(group: pa.Table) -> dict[str, np.ndarray]:
-    """An edge from each linked set of a group to the smallest of its component there."""
+    """An edge from each label of a group to the smallest label that its sets reach here; sets of one label are one component."""
     cid, first = np.unique(np.asarray(group["cid"]), return_index=True)
-    size = np.asarray(group["size"])[first]
+    size, label = np.asarray(group["size"])[first], np.asarray(group["label"])[first]
+    none = {"a": label[:0], "b": label[:0]}
+    if (label == label[0]).all():
+        return none
     lists = group["grams"].combine_chunks().take(pa.array(first))
     at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
     # places in the group's own order; each number is one object, however many sets have it
@@ -396,12 +406,19 @@ def _joined(group: pa.Table) -> dict[str, np.ndarray]:
     flat = np.arange(len(known)).astype(object)[rank]
     grams = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
     trie = Trie(len(cid))
+    by_label = np.argsort(label, kind="stable")
+    same = label[by_label[1:]] == label[by_label[:-1]]
+    for i, j in zip(by_label[1:][same].tolist(), by_label[:-1][same].tolist(), strict=True):
+        trie.sets.join(i, j)
     for i in np.lexsort((cid, size)).tolist():
         trie.search(i, grams[i], int(size[i]))
         trie.insert(i, grams[i], int(size[i]))
     root = np.array([trie.sets.find(i) for i in range(len(cid))])
-    moved = root != np.arange(len(cid))
-    return {"a": cid[moved], "b": cid[root[moved]]}
+    smallest = np.full(len(cid), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, root, label)
+    moved = np.flatnonzero(label != smallest[root])
+    moved = moved[np.unique(label[moved], return_index=True)[1]]
+    return {"a": label[moved], "b": smallest[root[moved]]}
 
 
 @lean
@@ -433,15 +450,51 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buck
     rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())
     # only numbers move until it is known where a set goes
     shown = sets.select("cid", F.size("grams").alias("_w"), F.explode(F.array(size_class, size_class + 1)).alias("class")).groupBy("cid", "class").agg(F.max("_w").alias("_w")).select("cid", "_w", node.alias("_n"))
-    place = shown.join(rough, F.col("_n") == F.col("node")).select(F.col("root").alias("comp"), F.col("cid").alias("_cid"), "_w")
-    place = split(place, "comp", F.col("_cid"), GROUP, F.col("_w"), GROUP_GRAMS).select("comp", "part", "_cid")
-    close = sets.dropDuplicates(["cid"]).join(place, F.col("cid") == F.col("_cid")).select("comp", "part", "cid", "size", "grams")
-    found = close.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
-    roots = components(found)
+    place = shared.put(shown.join(rough, F.col("_n") == F.col("node")).groupBy(F.col("root").alias("comp"), "cid").agg(F.max("_w").alias("_w")))
+    roots = _linked(sets, place, shared)
     rows = own_rows.join(roots, F.col("cid") == F.col("node"), "left")
     return shared.put(rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cid")).alias("class")))
 
 
+def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFrame:
+    """(node, root) of linked sets; ``place`` has the groups (comp, cid, _w: shingles) within which sets may link."""
+    alone = sets.select(F.col("cid").alias("_cid"), "size", "grams").dropDuplicates(["_cid"])
+
+    def joined(parts: DataFrame) -> DataFrame:
+        close = alone.join(parts, F.col("cid") == F.col("_cid")).select("comp", "part", "cid", "label", "size", "grams")
+        return close.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
+
+    blocks = lambda n, w: F.ceil(F.greatest(n / GROUP, w / GROUP_GRAMS)).cast("long")
+    pick = lambda n: F.pmod(F.xxhash64("cid"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    n, w = F.count(F.lit(1)), F.sum("_w")
+    big = shared.put(place.groupBy(F.col("comp").alias("_comp")).agg(n.alias("_n"), blocks(n, w).alias("_blocks")).where("_blocks > 1"))
+    held = place.join(big, F.col("comp") == F.col("_comp"), "left")
+    pivot = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) * F.col("_n") < F.lit(PIVOTS << 30)
+    own = F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).when(pivot, upto(F.col("_blocks"))).otherwise(F.array(pick(F.col("_blocks"))))
+    roots = components(joined(held.select("comp", F.explode(own).alias("part"), "cid", F.col("cid").alias("label"))))
+    if not big.count():
+        return roots
+    # within large groups: sets outside the largest component, against each other and all the rest
+    label = F.coalesce("root", "cid").alias("label")
+    labelled = shared.put(place.join(big, F.col("comp") == F.col("_comp")).join(roots, F.col("cid") == F.col("node"), "left").select("comp", "cid", "_w", label))
+    largest = labelled.groupBy("comp", "label").agg(n.alias("_n")).groupBy(F.col("comp").alias("_comp")).agg(F.max(F.struct("_n", "label"))["label"].alias("_largest"))
+    flagged = labelled.join(shared.put(largest), F.col("comp") == F.col("_comp")).withColumn("_out", F.col("label") != F.col("_largest")).drop("_comp")
+    count = lambda which: F.count(F.when(which, 1))
+    weight = lambda which: F.coalesce(F.sum(F.when(which, F.col("_w"))), F.lit(0))
+    out, rest = F.col("_out"), ~F.col("_out")
+    loads = flagged.groupBy(F.col("comp").alias("_comp")).agg(blocks(count(out), weight(out)).alias("_o"), F.greatest(blocks(count(rest), weight(rest)), F.lit(1)).alias("_g")).where("_o > 0")
+    loads = shared.put(loads)
+    if not loads.count():
+        return roots
+    o, g = F.col("_o"), F.col("_g")
+    among = F.transform(upto(o), lambda x: F.least(pick(o), x) * o + F.greatest(pick(o), x))
+    across = F.transform(upto(g), lambda x: o * o + pick(o) * g + x)
+    to = F.when(out, F.concat(among, across)).otherwise(F.transform(upto(o), lambda x: o * o + x * g + pick(g)))
+    parts = flagged.join(loads, F.col("comp") == F.col("_comp")).select("comp", F.explode(to).alias("part"), "cid", "label")
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined(parts)))
+
+
 def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """``rows`` with the columns of their class, null for those without; ``classes`` are _class, n (rows) and others.
 
