@@ -41,7 +41,7 @@ from tidelog.llm.text import lean
 from tidelog.sources.shared import SharedTables
 
 THRESHOLD = 0.9
-DIRECTIONS, CELL, BLOCK = 24, 256, 1024
+DIRECTIONS, CELL, BLOCK = 24, 512, 1024
 RECALL, CELL_RECALL = 0.99, 0.98
 
 
@@ -102,18 +102,23 @@ def calibrated(dim: int, threshold: float = THRESHOLD) -> tuple[float, int]:
 
 
 def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
-    """(n, m) counts of directions on which a left vector's window holds a right vector."""
+    """(n, m) counts of directions on which a left vector's window holds a right vector.
+
+    Along a direction the right vectors are sorted once; a window is a range of
+    places in that order, and holds the vectors whose places lie in it.
+    """
     n, m = len(left), len(right)
-    out = np.zeros(n * m, np.uint8)
-    base = np.arange(n) * m
+    out = np.zeros((n, m), np.uint8)
+    kind = np.uint16 if m < 1 << 16 else np.int64
+    places, place = np.arange(m, dtype=kind), np.empty(m, kind)
     for k in range(left.shape[1]):
         order = np.argsort(right[:, k], kind="stable")
         line = right[order, k]
-        lo, hi = np.searchsorted(line, left[:, k] - width, "left"), np.searchsorted(line, left[:, k] + width, "right")
-        size = hi - lo
-        place = np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size)
-        out[np.repeat(base, size) + order[place]] += 1
-    return out.reshape(n, m)
+        place[order] = places
+        lo = np.searchsorted(line, left[:, k] - width, "left").astype(kind)[:, None]
+        hi = np.searchsorted(line, left[:, k] + width, "right").astype(kind)[:, None]
+        out += (place >= lo) & (place < hi)
+    return out
 
 
 def _linked(cell: pa.Table, k: int, threshold: float) -> dict[str, np.ndarray]:
