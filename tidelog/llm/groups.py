@@ -4,11 +4,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.sources.shared import SharedTables, checkpointed
 
+#: Rows of a few numbers that fill a file.
+FILE_ROWS = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b) but the roots: ``root`` is the smallest node it reaches.
@@ -16,24 +19,34 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars: every node hands its larger neighbours, then its smaller
     ones, to the smallest node next to it, until only stars are left. A round
     is a few aggregations and joins on nodes with one row per link, so a hub is
-    never collected; each round is cut from its lineage in the shared folder.
+    never collected; each round is cut from its lineage in the shared folder, in
+    as many files as its links ask for: a round at most doubles them.
     """
     links = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    while not _stars(links):
+    while True:
+        n, odd = _counted(links)
+        if not odd:
+            break
         both = links.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(links.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("_m")).select(F.col("n").alias("_n"), F.least("n", "_m").alias("_m"))
         large = both.where("m > n").join(least, F.col("n") == F.col("_n")).select(F.col("m").alias("hi"), F.col("_m").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("_m")).select(F.col("hi").alias("_hi"), "_m")
         moved = large.join(small, F.col("hi") == F.col("_hi")).where("lo <> _m").select(F.col("lo").alias("hi"), F.col("_m").alias("lo"))
-        links = checkpointed(moved.unionByName(small.select(F.col("_hi").alias("hi"), F.col("_m").alias("lo"))).distinct())
+        links = checkpointed(moved.unionByName(small.select(F.col("_hi").alias("hi"), F.col("_m").alias("lo"))).distinct().coalesce(n_files(edges.sparkSession, 2 * n)))
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def _stars(links: DataFrame) -> bool:
-    """Whether every larger end has one smaller end, which is no larger end itself."""
+def n_files(spark: SparkSession, n: int) -> int:
+    """Files for ``n`` rows of a few numbers: no more than they fill, and no more than the session has partitions."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FILE_ROWS)))
+
+
+def _counted(links: DataFrame) -> tuple[int, int]:
+    """How many links there are, and at how many nodes they are not stars: a larger end has one smaller end, which is no larger end itself."""
     ends = links.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    odd = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
-    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, odd = nodes.agg(F.sum("up"), F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1))).first()
+    return n or 0, odd
 
 
 def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.groups import Sets, components, runs
+from tidelog.llm.groups import Sets, components, n_files, runs
 from tidelog.llm.text import Words, buffers, lean, mixed, shingles, slices, strings
 from tidelog.sources.shared import SharedTables
 
@@ -458,6 +458,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buck
 
 def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFrame:
     """(node, root) of linked sets; ``place`` has the groups (comp, cid, _w: shingles) within which sets may link."""
+    files = n_files(sets.sparkSession, place.count())
     alone = sets.select(F.col("cid").alias("_cid"), "size", "grams").dropDuplicates(["_cid"])
 
     def joined(parts: DataFrame) -> DataFrame:
@@ -468,7 +469,7 @@ def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFram
     pick = lambda n: F.pmod(F.xxhash64("cid"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     n, w = F.count(F.lit(1)), F.sum("_w")
-    big = shared.put(place.groupBy(F.col("comp").alias("_comp")).agg(n.alias("_n"), blocks(n, w).alias("_blocks")).where("_blocks > 1"))
+    big = shared.put(place.groupBy(F.col("comp").alias("_comp")).agg(n.alias("_n"), blocks(n, w).alias("_blocks")).where("_blocks > 1").coalesce(files))
     held = place.join(big, F.col("comp") == F.col("_comp"), "left")
     pivot = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) * F.col("_n") < F.lit(PIVOTS << 30)
     own = F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).when(pivot, upto(F.col("_blocks"))).otherwise(F.array(pick(F.col("_blocks"))))
@@ -477,14 +478,14 @@ def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFram
         return roots
     # within large groups: sets outside the largest component, against each other and all the rest
     label = F.coalesce("root", "cid").alias("label")
-    labelled = shared.put(place.join(big, F.col("comp") == F.col("_comp")).join(roots, F.col("cid") == F.col("node"), "left").select("comp", "cid", "_w", label))
+    labelled = shared.put(place.join(big, F.col("comp") == F.col("_comp")).join(roots, F.col("cid") == F.col("node"), "left").select("comp", "cid", "_w", label).coalesce(files))
     largest = labelled.groupBy("comp", "label").agg(n.alias("_n")).groupBy(F.col("comp").alias("_comp")).agg(F.max(F.struct("_n", "label"))["label"].alias("_largest"))
-    flagged = labelled.join(shared.put(largest), F.col("comp") == F.col("_comp")).withColumn("_out", F.col("label") != F.col("_largest")).drop("_comp")
+    flagged = labelled.join(shared.put(largest.coalesce(files)), F.col("comp") == F.col("_comp")).withColumn("_out", F.col("label") != F.col("_largest")).drop("_comp")
     count = lambda which: F.count(F.when(which, 1))
     weight = lambda which: F.coalesce(F.sum(F.when(which, F.col("_w"))), F.lit(0))
     out, rest = F.col("_out"), ~F.col("_out")
     loads = flagged.groupBy(F.col("comp").alias("_comp")).agg(blocks(count(out), weight(out)).alias("_o"), F.greatest(blocks(count(rest), weight(rest)), F.lit(1)).alias("_g")).where("_o > 0")
-    loads = shared.put(loads)
+    loads = shared.put(loads.coalesce(files))
     if not loads.count():
         return roots
     o, g = F.col("_o"), F.col("_g")
@@ -500,8 +501,9 @@ def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     Classes with over a HOT-th of all rows, fewer than HOT, come to their rows; only the rows of others are dealt by class.
     """
-    classes = SharedTables(rows.sparkSession).put(classes)
-    hot = F.col("n") * HOT > rows.count()
+    n_rows = rows.count()
+    classes = SharedTables(rows.sparkSession).put(classes.coalesce(n_files(rows.sparkSession, n_rows)))
+    hot = F.col("n") * HOT > n_rows
     large, small = F.broadcast(classes.where(hot)), classes.where(~hot)
     on = F.col("class") == F.col("_class")
     there = rows.join(large, on, "left").where("_class is not null or class is null")
