@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, words
 from tests.oracle import SF, compare
-from tidelog.llm import html, langid, mixing, neardup_vectors, ngramjoin, packing, quality, queries, rules
+from tidelog.llm import groups, html, langid, mixing, neardup_vectors, ngramjoin, packing, quality, queries, rules
 from tidelog.llm.text import strings
 
 MASK = (1 << 64) - 1
@@ -344,6 +344,47 @@ def test_one_row_of_each_group_stays(spark):
     assert ngramjoin.deduplicated(df.where("1 = 0")).count() == 0
 
 
+def _shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Where the rows that go are too many to broadcast, the others' texts still stay where they are."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 200))) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(20)] + [(7, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = ngramjoin.deduplicated(df)
+        before = _shuffled(spark)
+        assert sorted(map(tuple, out.collect())) == sorted(enumerate(texts))
+        assert _shuffled(spark) - before < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 27])
+def test_screened_loses_no_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(groups, "FILTER_BITS", bits)
+    rows = spark.range(-5000, 5000).select("id", F.xxhash64("id").alias("_at"), F.lit(1).alias("word"))
+    keys = rows.where("id % 7 = 0").select(F.col("_at").alias("k"))
+    near, clear = groups.screened(rows, F.col("_at"), keys)
+    assert near.columns == clear.columns == rows.columns
+    near, clear = ({r.id for r in x.collect()} for x in (near, clear))
+    assert near | clear == set(range(-5000, 5000)) and not near & clear
+    assert not [i for i in clear if i % 7 == 0]
+    assert bits < 1 << 27 or sum(i % 7 > 0 for i in near) < 10_000 / 12
+    none, rest = groups.screened(rows, F.col("_at"), keys.where("1 = 0"))
+    assert none.count() == 0 and rest.count() == 10_000
+    unknown, nothing = groups.screened(rows.where("id = 0"), F.lit(None).cast("long"), keys)
+    assert unknown.count() == 0 and nothing.count() == 1
+
+
 def test_shingles_are_counted_on_whole_hashes(monkeypatch):
     """Two shingles that agree in the 48 bits that the join compares are still two."""
     texts = pa.array([" ".join(f"w{i}" for i in range(30))])

@@ -11,6 +11,8 @@ from tidelog.sources.shared import SharedTables, checkpointed
 
 #: Rows of a few numbers that fill a file.
 FILE_ROWS = 100_000
+#: Bits per key of a broadcast filter, most bits (16 MB), and bits of one of its rows.
+KEY_BITS, FILTER_BITS, CHUNK = 16, 1 << 27, 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,6 +51,24 @@ def _counted(links: DataFrame) -> tuple[int, int]:
     return n or 0, odd
 
 
+def screened(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key``, a hash, may be one of ``keys``, a table of that one column, and those of which it is none.
+
+    A bit for each key comes to the rows, so that rows of the second kind need
+    not be dealt by key. One in 16 of them at most is taken for the first kind;
+    past 8 million keys the filter does not grow, and more are. So a join has to
+    follow on the first.
+    """
+    bits = max(CHUNK, min(1 << (KEY_BITS * keys.count()).bit_length(), FILTER_BITS))
+    words = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(bits)).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("set"))
+    chunks = words.groupBy(F.expr(f"word div {CHUNK // 64}").alias("_tidelog_chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"word % {CHUNK // 64}"), "set"))).alias("sets"))
+    chunks = chunks.select("_tidelog_chunk", F.expr(f"transform(sequence(0L, {CHUNK // 64 - 1}L), w -> coalesce(try_element_at(sets, w), 0L))").alias("_tidelog_bits"))
+    at = rows.withColumn("_tidelog_at", F.pmod(key, F.lit(bits)))
+    found = at.join(F.broadcast(chunks), F.expr(f"_tidelog_at div {CHUNK}") == F.col("_tidelog_chunk"), "left")
+    is_set = F.expr(f"coalesce(getbit(_tidelog_bits[cast(_tidelog_at % {CHUNK} div 64 as int)], cast(_tidelog_at % 64 as int)) = 1, false)")
+    return found.where(is_set).select(*rows.columns), found.where(~is_set).select(*rows.columns)
+
+
 def split(rows: DataFrame, key: str, by: Column, most: int) -> DataFrame:
     """``rows`` with ``part``: no (key, part) has more than about twice ``most`` rows.
 

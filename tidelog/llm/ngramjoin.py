@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.groups import Sets, components, n_files, runs
+from tidelog.llm.groups import Sets, components, n_files, runs, screened
 from tidelog.llm.text import Words, buffers, lean, mixed, shingles, slices, strings
 from tidelog.sources.shared import SharedTables
 
@@ -459,9 +459,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buck
 def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFrame:
     """(node, root) of linked sets; ``place`` has the groups (comp, cid, _w: shingles) within which sets may link."""
     files = n_files(sets.sparkSession, place.count())
-    alone = sets.select(F.col("cid").alias("_cid"), "size", "grams").dropDuplicates(["_cid"])
+    sets = sets.select(F.col("cid").alias("_cid"), "size", "grams")
 
-    def joined(parts: DataFrame) -> DataFrame:
+    def joined(parts: DataFrame, sets: DataFrame) -> DataFrame:
+        alone = sets.dropDuplicates(["_cid"])
         close = alone.join(parts, F.col("cid") == F.col("_cid")).select("comp", "part", "cid", "label", "size", "grams")
         return close.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(_join, "a long, b long")
 
@@ -473,7 +474,7 @@ def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFram
     held = place.join(big, F.col("comp") == F.col("_comp"), "left")
     pivot = F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) * F.col("_n") < F.lit(PIVOTS << 30)
     own = F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("long"))).when(pivot, upto(F.col("_blocks"))).otherwise(F.array(pick(F.col("_blocks"))))
-    roots = components(joined(held.select("comp", F.explode(own).alias("part"), "cid", F.col("cid").alias("label"))))
+    roots = components(joined(held.select("comp", F.explode(own).alias("part"), "cid", F.col("cid").alias("label")), sets))
     if not big.count():
         return roots
     # within large groups: sets outside the largest component, against each other and all the rest
@@ -492,8 +493,10 @@ def _linked(sets: DataFrame, place: DataFrame, shared: SharedTables) -> DataFram
     among = F.transform(upto(o), lambda x: F.least(pick(o), x) * o + F.greatest(pick(o), x))
     across = F.transform(upto(g), lambda x: o * o + pick(o) * g + x)
     to = F.when(out, F.concat(among, across)).otherwise(F.transform(upto(o), lambda x: o * o + x * g + pick(g)))
-    parts = flagged.join(loads, F.col("comp") == F.col("_comp")).select("comp", F.explode(to).alias("part"), "cid", "label")
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined(parts)))
+    aimed = shared.put(flagged.join(loads, F.col("comp") == F.col("_comp")).select("comp", to.alias("_to"), "cid", "label").coalesce(files))
+    parts = aimed.select("comp", F.explode("_to").alias("part"), "cid", "label")
+    some, _ = screened(sets, F.col("_cid"), aimed.select("cid"))  # the shingles of sets that are not compared again stay where they are
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(joined(parts, some)))
 
 
 def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -539,6 +542,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = shared.put(held.where("not _kept or _times > 1").select(F.col("doc_id").alias("_tidelog_id"), F.col("text_hash").alias("_tidelog_hash"), "_kept"))
     hashed = F.xxhash64(F.col(text_col))
     here = F.col(id_col).cast("long").eqNullSafe(F.col("_tidelog_id")) & (hashed == F.col("_tidelog_hash"))
-    alone = docs.join(gone, here, "left_anti")
-    first = docs.join(gone.where("_kept"), here, "left_semi").withColumn("_tidelog_hash", hashed).dropDuplicates([id_col, "_tidelog_hash"]).drop("_tidelog_hash")
-    return alone.unionByName(first)
+    # texts of which nothing is gone stay where they are
+    near, clear = screened(docs, F.xxhash64(F.col(id_col).cast("long"), hashed), gone.select(F.xxhash64("_tidelog_id", "_tidelog_hash")))
+    alone = near.join(gone, here, "left_anti")
+    first = near.join(gone.where("_kept"), here, "left_semi").withColumn("_tidelog_hash", hashed).dropDuplicates([id_col, "_tidelog_hash"]).drop("_tidelog_hash")
+    return clear.unionByName(alone).unionByName(first)
