@@ -2,6 +2,7 @@
 
 import random
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import DOCS, components, shingle_set
 from tidelog.llm import chat, groups, html, langid, mixing, neardup_vectors, ngramjoin, packing, quality, rules, urlfilter
+from tidelog.sources.shared import SharedTables
 
 LONG = " ".join(f"word{i}" for i in range(60_000))
 SAMPLE = " ".join("the quick brown fox jumps over a lazy dog while many other animals look on from afar and say nothing at all".split() * 1) + " "
@@ -77,6 +79,24 @@ def test_language_sample_is_of_1500(spark, monkeypatch):
     assert 1200 < usable < 1500 and taught == [usable]
 
 
+def test_language_sample_is_in_few_files(spark, monkeypatch):
+    docs = spark.range(0, 600, 1, 40).selectExpr("id as doc_id", "concat('word ', id, ' here') as text", "if(id % 3 = 0, 'en', 'de') as lang")
+    files, drop = [], SharedTables.drop
+    monkeypatch.setattr(SharedTables, "drop", lambda self: files.extend(f for p in self.paths for f in Path(p.removeprefix("file:")).glob("part-*")) or drop(self))
+    many = langid.fit(docs)
+    assert len(files) == 1
+    one = langid.fit(docs.coalesce(1))
+    assert np.array_equal(many.idf, one.idf) and np.array_equal(many.weights, one.weights) and many.temperature == one.temperature
+
+
+def test_language_sample_is_learned_in_one_order():
+    pairs = [(i, 200 - i) for i in range(1, 60)]  # of equal sums
+    rows = {"lang": ["a", "b"] * 29 + ["a"], "buckets": pairs, "counts": [(1, 2)] * len(pairs)}
+    sample = pa.table(rows, pa.schema([("lang", pa.string()), ("buckets", pa.list_(pa.int16())), ("counts", pa.list_(pa.int32()))]))
+    there, back = (langid._train(["a", "b"], np.ones(langid.BUCKETS), s) for s in (sample, sample.take(list(range(len(pairs)))[::-1])))
+    assert there.weights.any() and np.array_equal(there.weights, back.weights) and there.temperature == back.temperature
+
+
 def test_language_cases(spark):
     docs = odd_docs(spark)
     model = langid.fit(docs)

@@ -23,12 +23,14 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.groups import n_files
 from tidelog.llm.text import lean, slices, strings
 from tidelog.sources.shared import SharedTables
 
@@ -178,7 +180,8 @@ def fit(docs: DataFrame) -> Model:
                 part = part - np.minimum(part, MOST)
 
     shared = SharedTables(docs.sparkSession)
-    found = shared.put(usable.select("lang", drawn.alias("drawn"), "text").mapInArrow(run, "lang string, buckets array<short>, counts array<int>"))
+    found = usable.select("lang", drawn.alias("drawn"), "text").mapInArrow(run, "lang string, buckets array<short>, counts array<int>")
+    found = shared.put(found.repartition(n_files(docs.sparkSession, sum(sizes.values()))))  # not a file per task: each has little
     total = found.where("lang is null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("n"))
     df = np.zeros(BUCKETS)
     for bucket, n in total.collect():
@@ -199,7 +202,7 @@ def _train(labels: list[str], idf: np.ndarray, sample: pa.Table) -> Model:
     number = {x: i for i, x in enumerate(labels)}
     # views of Arrow's buffers; a row is widened while it is used
     rows = [(number[lang], b, c) for lang, b, c in zip(sample["lang"].to_pylist(), _arrays(sample["buckets"]), _arrays(sample["counts"]), strict=True) if len(b)]
-    rows.sort(key=lambda r: (len(r[1]), int(r[1].sum()), int(r[2].sum()), r[0]))  # the same order at every run
+    rows.sort(key=lambda r: (len(r[1]), int(r[1].sum()), int(r[2].sum()), r[0], crc32(r[1]), crc32(r[2])))  # the same order at every run
     order = np.random.default_rng(17).permutation(len(rows))
     spare, taught = order[::6], np.delete(order, slice(None, None, 6))
     learner = Ftrl(len(labels))
