@@ -327,6 +327,20 @@ def test_records_by_token(spark, tmp_path):
     assert [(r.store_seq, r.store_level, r.compressed, r.listed) for r in t.stores().orderBy("store_seq").collect()] == [(0, 0, True, True), (1, 0, True, True)]
 
 
+def test_a_store_is_moved_by_its_tasks_and_read_by_page_checksums(spark, tmp_path):
+    t = Table.open(spark, f"{tmp_path}/t", num_shards=1, compressed=False)
+    t.add(kv(spark, [(b"k%03d" % i, b"value-%03d" % i) for i in range(300)]), "n")
+    assert len(content(t)) == 300
+    assert not [*(tmp_path / "t").glob("batch-*/store_*/.part-*.crc")]
+    for f in (tmp_path / "t").glob("batch-*/store_*/part-*"):
+        data = f.read_bytes()
+        at = data.find(b"value-")
+        if at >= 0:
+            f.write_bytes(data[:at] + b"VALUE" + data[at + 5 :])
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        content(Table.open(spark, f"{tmp_path}/t"))
+
+
 def test_plain_stores_and_crashed_writes(spark, tmp_path):
     t = Table.open(spark, f"{tmp_path}/t", compressed=False)
     t.add(kv(spark, [(b"a", b"1")]), "n")

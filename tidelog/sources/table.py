@@ -24,6 +24,14 @@ from tidelog.sources.shared import remove
 FILE_ROWS = 1 << 24
 
 
+#: Tasks move their files to the store themselves, not the driver one after another; the manifest decides what is visible.
+#: On a local disk Hadoop starts a child process for each file and another for its .crc file, which Parquet's page
+#: checksums stand in for; this takes the .crc files away there and says nothing of other file systems.
+WRITE = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "parquet.page.write-checksum.enabled": "true", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Stores are read with their pages' checksums compared.
+READ = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 class Table:
     """Open with :meth:`open`. Writes return the new version and move this handle to it."""
 
@@ -64,7 +72,7 @@ class Table:
 
     def _read(self, batches: list[dict]) -> DataFrame:
         paths = [f"{self.path}/{b['dir']}" for b in batches]
-        return self.spark.read.schema(OPLOG).parquet(*paths) if paths else self.spark.createDataFrame([], OPLOG)
+        return self.spark.read.schema(OPLOG).options(**READ).parquet(*paths) if paths else self.spark.createDataFrame([], OPLOG)
 
     def current(self) -> DataFrame:
         return resolve.live(self.log(), ["key"], "seq", ["value"], "is_del").select("key", "value")
@@ -84,7 +92,7 @@ class Table:
         size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
         put = put.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("bytes"), F.max("seq").alias("top"))
         writer = put.write.option("compression", "zstd" if packed else "none").option("maxRecordsPerFile", self.manifest.get("file_rows", FILE_ROWS))
-        writer.parquet(f"{self.path}/{name}")
+        writer.options(**WRITE).parquet(f"{self.path}/{name}")
         top = seen.get["top"]
         seq = max(self.manifest.get("seq"), 0 if top is None else top + 1) if next_seq is None else next_seq
         values = dict(self.manifest.values)
