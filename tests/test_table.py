@@ -327,6 +327,17 @@ def test_records_by_token(spark, tmp_path):
     assert [(r.store_seq, r.store_level, r.compressed, r.listed) for r in t.stores().orderBy("store_seq").collect()] == [(0, 0, True, True), (1, 0, True, True)]
 
 
+def test_tokens_follow_a_task_past_its_thousandth_file(spark, tmp_path):
+    n, before = 1003, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        t = Table.open(spark, f"{tmp_path}/t", num_shards=1, file_rows=1)  # by name, c1000 to c1002 come before c101
+        t.add(kv(spark, [(b"k%05d" % i, b"%d" % i) for i in range(n)]), "n")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r.token, bytes(r.key)) for r in t.records().orderBy("token").collect()] == [(i, b"k%05d" % i) for i in range(n)]
+
+
 def test_a_store_is_moved_by_its_tasks_and_read_by_page_checksums(spark, tmp_path):
     t = Table.open(spark, f"{tmp_path}/t", num_shards=1, compressed=False)
     t.add(kv(spark, [(b"k%03d" % i, b"value-%03d" % i) for i in range(300)]), "n")

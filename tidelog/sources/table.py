@@ -251,16 +251,20 @@ class Table:
     def _records(self, batches: list[dict]) -> DataFrame:
         """token, key, value, seq and is_del of stored records; a token is the store's number and the record's place in it.
 
-        A store's files follow each other by name; what lies before each is one row per file.
+        A store's files follow each other by the numbers in their names, of the writing task and of the file
+        in it. What lies before each is one row per file, and is broadcast.
         """
         if not batches:
             return self._read([]).select(F.lit(None).cast("bigint").alias("token"), *OPLOG.names)
-        numbers = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        rows = self._read(batches).select(codec.store_seq(numbers).alias("_store"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"), *OPLOG.names)
-        before = Window.partitionBy("_store").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-        counts = rows.groupBy("_store", "_file").agg(F.count(F.lit(1)).alias("_n"))
-        starts = counts.select(F.col("_store").alias("_s"), F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-        placed = rows.join(starts, (F.col("_store") == F.col("_s")) & (F.col("_file") == F.col("_f")))
+        rows = self._read(batches).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"), *OPLOG.names)
+        # names are taken apart once a file, not once a row
+        number = lambda pattern: F.regexp_extract(codec.base_name(F.col("_path")), pattern, 1).cast("bigint")
+        store = codec.store_seq(F.element_at(F.split("_path", "/"), -2))
+        counts = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
+        named = counts.select("_path", "_n", store.alias("_store"), number("^part-([0-9]+)-").alias("_part"), number("-c([0-9]+)[.]").alias("_turn"))
+        before = Window.partitionBy("_store").orderBy("_part", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+        starts = named.select("_path", "_store", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        placed = rows.join(F.broadcast(starts), "_path")
         return placed.select(codec.token(F.col("_store"), F.col("_start") + F.col("_row")).alias("token"), *OPLOG.names)
 
     def records(self) -> DataFrame:
